@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import ColumnOrName, col, contains_any, count_terms, is_missing, trim_ws
+from lodestar.functions.text import ColumnOrName, col, contains_any, count_terms, is_missing, let, trim_ws
 
 Lexicon = Sequence[tuple[str, Sequence[str]]]
 
@@ -22,17 +22,24 @@ def classify_mixed(text: ColumnOrName, lexicon: Lexicon, priority: str = "D2C",
                    rival: str = "B2C", none_label: str = "Unknown", tie_label: str = "Mixed") -> Column:
     """Label with most term hits; tie → Mixed; ``priority`` wins when it has hits
     and at least as many as ``rival`` (even if a third label scores higher)."""
-    t = F.lower(col(text))
-    scores = {lbl: count_terms(t, terms) for lbl, terms in lexicon}
-    top = F.greatest(*scores.values()) if len(scores) > 1 else list(scores.values())[0]
-    n_top = sum((s == top).cast("int") for s in scores.values())
-    out = F.when(top == 0, F.lit(none_label))
-    if priority in scores and rival in scores:
-        out = out.when((scores[priority] > 0) & (scores[priority] >= scores[rival]), F.lit(priority))
-    out = out.when(n_top > 1, F.lit(tie_label))
-    for lbl, s in scores.items():
-        out = out.when(s == top, F.lit(lbl))
-    return out
+    labels = [lbl for lbl, _ in lexicon]
+
+    def packed_of(t: Column) -> Column:
+        return F.struct(*[count_terms(t, terms).alias(f"s{i}") for i, (_, terms) in enumerate(lexicon)])
+
+    def decide(sc: Column) -> Column:
+        scores = {lbl: sc[f"s{i}"] for i, lbl in enumerate(labels)}
+        top = F.greatest(*scores.values()) if len(scores) > 1 else list(scores.values())[0]
+        n_top = sum((s == top).cast("int") for s in scores.values())
+        out = F.when(top == 0, F.lit(none_label))
+        if priority in scores and rival in scores:
+            out = out.when((scores[priority] > 0) & (scores[priority] >= scores[rival]), F.lit(priority))
+        out = out.when(n_top > 1, F.lit(tie_label))
+        for lbl, s in scores.items():
+            out = out.when(s == top, F.lit(lbl))
+        return out
+
+    return let(F.lower(col(text)), lambda t: let(packed_of(t), decide))
 
 
 def classify_ordered(title: ColumnOrName, text: ColumnOrName, title_rules: Lexicon,
@@ -42,18 +49,24 @@ def classify_ordered(title: ColumnOrName, text: ColumnOrName, title_rules: Lexic
     ``lexicon`` must hold the three labels B2B, B2C, D2C (in any order).
     """
     ti = F.lower(col(title))
-    tx = F.lower(col(text))
-    c = {lbl: count_terms(tx, terms) for lbl, terms in lexicon}
+    c = dict(lexicon)
+
+    def packed_of(tx: Column) -> Column:
+        return F.struct(*[count_terms(tx, c[lbl]).alias(lbl) for lbl in ("D2C", "B2B", "B2C")])
+
+    def by_counts(sc: Column) -> Column:
+        d2c, b2b, b2c = sc["D2C"], sc["B2B"], sc["B2C"]
+        return (F.when((d2c > b2b) & (d2c > b2c), F.lit("D2C"))
+                .when(b2b > b2c, F.lit("B2B"))
+                .when(b2c > b2b, F.lit("B2C"))
+                .otherwise(F.lit(default)))
+
     out = None
     for lbl, terms in title_rules:
         hit = contains_any(ti, terms)
         out = F.when(hit, F.lit(lbl)) if out is None else out.when(hit, F.lit(lbl))
-    d2c, b2b, b2c = c["D2C"], c["B2B"], c["B2C"]
-    out = out.when((d2c > b2b) & (d2c > b2c), F.lit("D2C")) if out is not None else \
-        F.when((d2c > b2b) & (d2c > b2c), F.lit("D2C"))
-    return (out.when(b2b > b2c, F.lit("B2B"))
-            .when(b2c > b2b, F.lit("B2C"))
-            .otherwise(F.lit(default)))
+    rest = let(F.lower(col(text)), lambda tx: let(packed_of(tx), by_counts))
+    return rest if out is None else out.otherwise(rest)
 
 
 def _ranked_labels(t: Column, lexicon: Lexicon) -> Column:

@@ -147,6 +147,17 @@ def literal_alternation(terms: Iterable[str]) -> str:
     return "(?:" + "|".join("\\Q" + t + "\\E" for t in terms) + ")"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda over a Column).
+
+    Expressions that refer to a large sub-expression several times would
+    otherwise repeat it in generated code (and in pushed-down filters, where no
+    common-subexpression elimination applies); binding it through a one-element
+    ``transform`` keeps the generated code small.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """True when any literal term occurs in ``text``."""
     terms = list(terms)

@@ -115,4 +115,4 @@ def duck_view(name: str) -> str:
 
 def duck_with(*names: str) -> str:
     """``WITH P AS (...), C AS (...)`` prefix for oracle SQL."""
-    return "WITH " + ",\n".join(f"{n} AS ({duck_view(n)})" for n in names)
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({duck_view(n)})" for n in names)

@@ -213,7 +213,7 @@ _run_b = "run_date = DATE '2024-01-15'"
 
 
 @register("j04_unseen", f"""{duck_with('E')}
-SELECT seq, k FROM E WHERE {_run_b} AND k NOT IN (SELECT k FROM E WHERE {_run_a} AND k IS NOT NULL)""")
+SELECT seq, k FROM E WHERE {_run_b} AND (k IS NULL OR k NOT IN (SELECT k FROM E WHERE {_run_a} AND k IS NOT NULL))""")
 def j04_unseen(spark, sf):
     e = E(spark, sf)
     return J.unseen(e.where(F.col("run_date") == "2024-01-15"), e.where(F.col("run_date") <= "2024-01-14"), "k") \

@@ -107,12 +107,12 @@ def has_signal(cols: Iterable[ColumnOrName], terms: Sequence[str]) -> Column:
 
 def work_type(flag: ColumnOrName | None, *text_cols: ColumnOrName) -> Column:
     """Flag true → remote; else hybrid before remote/wfh; else onsite."""
-    t = F.lower(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in text_cols]))
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in text_cols]))
     flagged = F.lit(False) if flag is None else (F.lower(col(flag).cast("string")) == "true")
-    return (F.when(flagged, F.lit("remote"))
-            .when(t.contains("hybrid"), F.lit("hybrid"))
-            .when(contains_any(t, ["remote", "work from home", "wfh"]), F.lit("remote"))
-            .otherwise(F.lit("onsite")))
+    by_text = let(text, lambda t: F.when(t.contains("hybrid"), F.lit("hybrid"))
+                  .when(contains_any(t, ["remote", "work from home", "wfh"]), F.lit("remote"))
+                  .otherwise(F.lit("onsite")))
+    return F.when(flagged, F.lit("remote")).otherwise(by_text)
 
 
 def is_inside(text: ColumnOrName, inside: Sequence[str]) -> Column:

@@ -37,3 +37,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over the cluster when it arrives in fewer partitions than
+    the default parallelism (e.g. one large single-row-group file feeding CPU-heavy
+    text rules). At scale the input already has many splits and this is a no-op.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -35,8 +35,13 @@ def current_master(spark: SparkSession, master_dir: str) -> DataFrame | None:
 
 def stream_upsert(spark: SparkSession, source_dir: str, schema, master_dir: str, checkpoint: str,
                   key: str, order_by: Sequence[str], stamp_col: str | None = None,
-                  as_of: str | None = None):
-    """Process every run file present under ``source_dir`` (trigger availableNow)."""
+                  as_of: str | None = None, files_per_run: int = 1):
+    """Process every run file present under ``source_dir`` (trigger availableNow).
+
+    Each micro-batch is one run: runs arrive as ``files_per_run`` files and are
+    taken in file order (modification time), so the batch sequence is the run
+    sequence.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -46,7 +51,7 @@ def stream_upsert(spark: SparkSession, source_dir: str, schema, master_dir: str,
         merged = upsert(master, batch, key, stamp, order_by)
         merged.write.mode("overwrite").parquet(_version_dir(master_dir, batch_id + 1))
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_run).parquet(source_dir)
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -16,8 +16,9 @@ def test_stream_equals_batch(spark):
     runs = [r.run_date for r in e.select("run_date").distinct().orderBy("run_date").limit(2).collect()]
     d = tempfile.mkdtemp(prefix="lodestar-t01-")
     for i, rd in enumerate(runs):
+        # One file per run: the stream turns each new file into one micro-batch (one run).
         e.where(F.col("run_date") == rd).withColumn("stamp", F.lit(f"run-{i}")) \
-            .write.parquet(f"{d}/src/run={i}")
+            .coalesce(1).write.parquet(f"{d}/src/run={i}")
     schema = spark.read.parquet(f"{d}/src/run=0").schema
     got = stream_upsert(spark, f"{d}/src/*", schema, f"{d}/master", f"{d}/ckpt", "k", ["seq"], stamp_col="stamp")
     batch = None

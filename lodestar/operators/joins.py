@@ -106,7 +106,7 @@ def match_candidate(people: DataFrame, cands: DataFrame, domain: str, name: str,
     last token (equi-joins).
     """
     from lodestar.functions.text import contains_any
-    from lodestar.operators.match import contains_join
+    from lodestar.operators.match import contains_all_join
     c = cands
     if hr_terms:
         text = F.lower(F.concat_ws(" ", F.coalesce(F.col(position), F.lit("")),
@@ -122,9 +122,9 @@ def match_candidate(people: DataFrame, cands: DataFrame, domain: str, name: str,
                       F.when(n.rlike(r"\S"), F.element_at(toks, -1)).alias("__tn"))
     both = c.where((F.col("__f") != "") & (F.col("__l") != ""))
     one = c.where((F.col("__f") == "") | (F.col("__l") == ""))
-    hits_f = contains_join(both, "__pos", "__f", p, "__pk", "__n", part=["__d"])
-    m_both = (hits_f.join(both, on=["__d", "__pos"]).join(p, on=["__d", "__pk"])
-              .where(F.col("__n").contains(F.col("__l"))).select("__pk", "__pos", "__val"))
+    hits = contains_all_join(both.withColumn("__fl", F.array("__f", "__l")), "__pos", "__fl", p, "__pk", "__n",
+                             part=["__d"])
+    m_both = hits.join(both, on=["__d", "__pos"]).select("__pk", "__pos", "__val")
     m_first = one.where(F.col("__f") != "").join(p, (one["__d"] == p["__d"]) & (one["__f"] == p["__t1"])) \
         .select("__pk", "__pos", "__val")
     m_last = one.where(F.col("__l") != "").join(p, (one["__d"] == p["__d"]) & (one["__l"] == p["__tn"])) \

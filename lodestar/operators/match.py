@@ -63,6 +63,40 @@ def contains_join(needles: DataFrame, nkey: str, ntext: str, hays: DataFrame, hk
     return out.distinct().withColumnsRenamed({"__nk": nkey, "__hk": hkey})
 
 
+def contains_all_join(needles: DataFrame, nkey: str, ntexts: str, hays: DataFrame, hkey: str, htext: str,
+                      part: Sequence[str] = ()) -> DataFrame:
+    """All (nkey, hkey[, part]) where *every* non-empty text of the array ``ntexts`` occurs in ``htext``.
+
+    A needle is routed by the rarest gram over all of its texts (so a name that
+    occurs in every hay does not pair the needle with every hay) and verified with
+    ``forall``; needles whose texts are all shorter than the gram use the
+    substring equi-join on their first text.
+    """
+    part = list(part)
+    n = needles.select(*part, F.col(nkey).alias("__nk"),
+                       F.filter(F.col(ntexts), lambda t: F.length(t) > 0).alias("__ts")).where(F.size("__ts") > 0)
+    h = hays.select(*part, F.col(hkey).alias("__hk"), F.col(htext).alias("__hs")).where(F.length("__hs") > 0)
+    hg = h.select(*part, "__hk", "__hs", F.explode(substrings(F.col("__hs"), GRAM)).alias("__g"))
+    gram_df = hg.groupBy(*part, "__g").agg(F.count(F.lit(1)).alias("__df"))
+    long_n = n.where(F.exists("__ts", lambda t: F.length(t) >= GRAM))
+    ng = long_n.select(*part, "__nk", "__ts", F.explode(F.flatten(F.transform(
+        "__ts", lambda t: substrings(t, GRAM)))).alias("__g")).join(gram_df, on=[*part, "__g"], how="left")
+    pick = (ng.groupBy(*part, "__nk", "__ts")
+            .agg(F.min_by("__g", F.struct(F.coalesce("__df", F.lit(0)), F.col("__g"))).alias("__g"),
+                 F.min(F.coalesce("__df", F.lit(0))).alias("__mindf"))
+            .where(F.col("__mindf") > 0).drop("__mindf"))
+    long_pairs = (pick.join(hg, on=[*part, "__g"], how="inner")
+                  .where(F.forall("__ts", lambda t: F.col("__hs").contains(t))).select(*part, "__nk", "__hk"))
+    short_n = n.where(~F.exists("__ts", lambda t: F.length(t) >= GRAM)).withColumn("__s", F.try_element_at("__ts", F.lit(1)))
+    out = long_pairs
+    for L in range(1, GRAM):
+        hs = h.select(*part, "__hk", "__hs", F.explode(substrings(F.col("__hs"), L)).alias("__s"))
+        out = out.unionByName(short_n.where(F.length("__s") == L).join(hs, on=[*part, "__s"], how="inner")
+                              .where(F.forall("__ts", lambda t: F.col("__hs").contains(t)))
+                              .select(*part, "__nk", "__hk"))
+    return out.distinct().withColumnsRenamed({"__nk": nkey, "__hk": hkey})
+
+
 def company_match(jobs: DataFrame, recruiters: DataFrame, job_company: str = "company",
                   rec_company: str = "company", rec_order: Sequence[ColumnOrName] = ("recruiter_rank", "seq"),
                   substring: bool = True) -> DataFrame:

@@ -281,3 +281,44 @@ SELECT count_if(k IS NOT NULL AND r = 1 AND m = 0) AS new, count_if(k IS NOT NUL
 def g06_merge_stats(spark, sf):
     m1, b = _upsert_parts(spark, sf)
     return merge_stats(m1, b, "k")
+
+
+# ---- J09: person → e-mail candidate within a domain ------------------------------------
+from lodestar.profiles.jobs import HR_TERMS  # noqa: E402
+
+_CAND_SQL = """SELECT 'd' || CAST(c_custkey % 7 AS VARCHAR) || '.example' AS domain, c_custkey AS pos,
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'customer' END AS first_name,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE substr(c_name, 10, 9) END AS last_name,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'Talent Acquisition' ELSE 'Engineer' END AS position, '' AS department,
+  lower(c_name) || '@d.example' AS value FROM customer"""
+
+
+def _j09_sql() -> str:
+    pd_ = "lower(concat_ws(' ', coalesce(position, ''), coalesce(department, '')))"
+    n = "lower(coalesce(person_name, ''))"
+    toks = f"string_split_regex({S.trim_ws(n)}, '\\s+')"
+    named = (f"CASE WHEN {n} = '' THEN FALSE WHEN lower(first_name) <> '' AND lower(last_name) <> '' "
+             f"THEN contains({n}, lower(first_name)) AND contains({n}, lower(last_name)) "
+             f"ELSE (lower(first_name) = {toks}[1] OR lower(last_name) = {toks}[-1]) END")
+    return f"""{duck_with('C')},
+CANDS AS ({_CAND_SQL}),
+HRC AS (SELECT *, {S.any_of(pd_, HR_TERMS)} AS p FROM CANDS),
+A AS (SELECT domain, max(p) AS anyp FROM HRC GROUP BY domain),
+NC AS (SELECT HRC.* FROM HRC JOIN A USING (domain) WHERE p OR NOT anyp),
+PPL AS (SELECT seq AS person_id, 'd' || CAST(seq % 7 AS VARCHAR) || '.example' AS domain, person_name FROM C),
+M AS (SELECT person_id, value, (CASE WHEN {named} THEN 0 ELSE 1 END) * 100000000 + pos AS rk
+      FROM PPL JOIN NC USING (domain))
+SELECT PPL.person_id, coalesce(B.v, '') AS matched_value FROM PPL
+LEFT JOIN (SELECT person_id, arg_min(value, rk) AS v FROM M GROUP BY person_id) B USING (person_id)"""
+
+
+@register("j09_match_candidate", _j09_sql())
+def j09_match_candidate(spark, sf):
+    from lodestar.plans.fixtures import table
+    cands = spark.sql(_CAND_SQL.replace("FROM customer", "FROM {customer}").replace("AS VARCHAR)", "AS STRING)"),
+                      customer=table(spark, sf, "customer"))
+    people = C(spark, sf).select(F.col("seq").alias("person_id"),
+                                 F.concat(F.lit("d"), (F.col("seq") % 7).cast("string"), F.lit(".example")).alias("domain"),
+                                 "person_name")
+    return J.match_candidate(people, cands, "domain", "person_name", hr_terms=HR_TERMS).select(
+        "person_id", "matched_value")

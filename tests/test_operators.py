@@ -41,3 +41,18 @@ def test_plans_have_no_python_or_cartesian(spark):
     for name in ("company_summary", "w01_dedup_first", "p04_enrich", "f05_filter_region"):
         plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_contains_all_join_matches_nested_loop(spark):
+    import random
+    from lodestar.operators.match import contains_all_join
+    rnd = random.Random(11)
+    word = lambda lo, hi: "".join(rnd.choice("ab") for _ in range(rnd.randint(lo, hi)))
+    hays = [(i, i % 3, word(0, 10)) for i in range(50)]
+    needles = [(i, i % 3, [word(0, 4), word(0, 4)]) for i in range(50)]
+    h = spark.createDataFrame(hays, "hid int, d int, hs string")
+    n = spark.createDataFrame(needles, "nid int, d int, ts array<string>")
+    got = {(r.nid, r.hid) for r in contains_all_join(n, "nid", "ts", h, "hid", "hs", part=["d"]).collect()}
+    want = {(i, j) for i, d1, ts in needles for j, d2, t in hays
+            if d1 == d2 and any(ts) and all(s in t for s in ts if s)}
+    assert got == want

@@ -123,3 +123,38 @@ def extract_headings(df: DataFrame, html: str, key: str, levels: Sequence[int] =
         h = h.select(key, "level", "pos", strip_html("raw").alias("heading"))
         out = h if out is None else out.unionByName(h)
     return out
+
+
+def first_nonempty_strategy(dfs: Sequence[DataFrame], page_key: str) -> DataFrame:
+    """Per page, keep only the rows of the first strategy (in list order) that produced any.
+
+    The winning strategy per page is a grouped ``min`` joined back (partial
+    aggregation; no window over a whole page group).
+    """
+    u = None
+    for i, d in enumerate(dfs):
+        d = d.withColumn("strategy", F.lit(i))
+        u = d if u is None else u.unionByName(d, allowMissingColumns=True)
+    best = u.groupBy(page_key).agg(F.min("strategy").alias("__best"))
+    return u.join(best, on=page_key).where(F.col("strategy") == F.col("__best")).drop("__best")
+
+
+def card_fields(text: ColumnOrName, patterns: dict[str, str]) -> dict[str, Column]:
+    """For each named pattern, the first match in the card text (NULL when none)."""
+    t = col(text)
+    return {name: F.nullif(F.regexp_extract(t, p, 0), F.lit("")) for name, p in patterns.items()}
+
+
+def positional_fields(blocks: ColumnOrName, names: Sequence[str], headline_terms: Sequence[str] = ("#", "hiring")
+                      ) -> dict[str, Column]:
+    """The non-blank text blocks of a card by position (1st → names[0], ...), plus a
+    headline = the whole text when it holds one of ``headline_terms``."""
+    nb = F.filter(F.transform(col(blocks), lambda b: trim_ws(b)), lambda b: b != "")
+    out = {n: F.try_element_at(nb, F.lit(i + 1)) for i, n in enumerate(names)}
+    whole = F.array_join(nb, " ")
+    hit = None
+    for term in headline_terms:
+        e = F.lower(whole).contains(term)
+        hit = e if hit is None else (hit | e)
+    out["headline"] = F.when(hit, whole).otherwise(F.lit(""))
+    return out

@@ -3,14 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .shared import table
 from .simhash import simhash_groups
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=3, min_chars=20)
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__sha256").alias("kept_sha256"))
+
+
+SQL1 = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL AND doc_id <> keeper) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (r.key IS NOT NULL AND doc_id <> keeper)), '')) AS kept_sha256
+FROM k LEFT JOIN r ON k.key = r.key GROUP BY doc_id
+"""
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.drop("items")
+
+
+SQL2 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS p FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS phrase FROM i),
+n AS (SELECT DISTINCT n FROM v),
+g AS (SELECT doc_id, n.n AS n, p, array_to_string(w[p:p + n.n - 1], ' ') AS phrase
+      FROM n, (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d) s WHERE p + n.n - 1 <= len(w)),
+m AS (SELECT doc_id, item_id, p, g.n AS n FROM g JOIN v ON g.phrase = v.phrase AND g.n = v.n),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) FROM m) GROUP BY doc_id),
+j AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN j ON d.doc_id = j.doc_id
+"""
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, limit=2)
 
@@ -28,6 +70,8 @@ FROM d JOIN g ON d.t = g.t
 """
 
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, SQL1),
+    "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),
 }

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python: texts are long, so far fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch sent to Python: texts are long, so far less than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: Texts of one numpy block, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -44,9 +44,8 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that tasks get (a batch of long texts must fit a Python worker)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import mix
 from .shared import table
 from .simhash import simhash_groups
 
@@ -53,6 +54,11 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN j ON d.doc_id = j.doc_id
 """
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, limit=2)
 
@@ -72,6 +78,7 @@ FROM d JOIN g ON d.t = g.t
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, SQL1),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
+    "op4_source_mixing": (op4_source_mixing, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),
 }

@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_groups
 
@@ -54,6 +55,12 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN j ON d.doc_id = j.doc_id
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -78,6 +85,7 @@ FROM d JOIN g ON d.t = g.t
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, SQL1),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
+    "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_source_mixing": (op4_source_mixing, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mix
 from .quality import quality_scores
@@ -66,6 +67,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, limit=2)
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_source_mixing": (op4_source_mixing, None),
+    "op5_language_id": (op5_language_id, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),
 }

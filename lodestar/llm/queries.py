@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mix
+from .pii import personal_data
 from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_groups
@@ -81,6 +82,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 SQL7 = f"""
 WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -96,4 +101,5 @@ QUERIES = {
     "op5_language_id": (op5_language_id, None),
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),
+    "op8_personal_data": (op8_personal_data, None),
 }

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .licences import TEMPLATES, THRESHOLD, document_paths, licence_scan, template_terms
 from .line_dedup import line_dedup
 from .mixing import mix
 from .pii import personal_data
 from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_groups
+from .token_counts import document_tokens
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,6 +95,42 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 FROM d JOIN g ON d.t = g.t
 """
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licence_scan(document_paths(table(spark, sf_dir, "documents")))
+    doc_id = F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long")
+    return rows.select(doc_id.alias("doc_id"), "path", "license", "score", "origin", "from_dir")
+
+
+_TERMS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*'), lambda x: lower(x))"
+_TEMPLATE_ROWS = ", ".join(f"('{t}', {n}, '{name}', {c})" for name, n, counts in template_terms(TEMPLATES) for t, c in counts.items())
+SQL9 = f"""
+WITH f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir,
+             CAST(doc_id AS VARCHAR) || '.txt' AS name, coalesce(text, '') AS text FROM documents),
+t(term, template, license, tf) AS (VALUES {_TEMPLATE_ROWS}),
+v AS (SELECT DISTINCT term FROM t), n AS (SELECT count(*) AS n FROM f),
+d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM f) JOIN v USING (term) GROUP BY term),
+i AS (SELECT v.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM v LEFT JOIN d USING (term), n),
+w AS (SELECT t.*, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS norm FROM t JOIN i USING (term)),
+l AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM f),
+s AS (SELECT doc_id, count(*) AS n_lines FROM l WHERE line <> '' GROUP BY doc_id),
+c AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest({_TERMS.format('line')}) AS term FROM l) GROUP BY ALL),
+x AS (SELECT c.*, c.tf * coalesce(idf, ln(1 + n) + 1) AS x FROM c LEFT JOIN i USING (term), n),
+y AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+z AS (SELECT doc_id, line, template, license, sum(x * w / w.norm) AS dot FROM x JOIN w USING (term) GROUP BY ALL),
+h AS (SELECT doc_id, line, license, round(dot / norm, 6) AS score FROM z JOIN y USING (doc_id, line) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+o AS (SELECT doc_id, max(score) AS score, arg_min(license, (-score, license)) AS license, count(DISTINCT line) AS n_stated FROM h GROUP BY doc_id),
+p AS (SELECT dir, max(score) AS score, arg_min(license, (-score, license)) AS license FROM o JOIN s USING (doc_id) JOIN f USING (doc_id) WHERE n_stated >= 0.5 * n_lines GROUP BY dir)
+SELECT doc_id, f.dir || '/' || name AS path, coalesce(o.license, p.license) AS license, coalesce(o.score, p.score, 0) AS score,
+       CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN p.dir IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN o.doc_id IS NULL THEN p.dir END AS from_dir
+FROM f LEFT JOIN o USING (doc_id) LEFT JOIN p ON f.dir = p.dir
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, SQL1),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
@@ -102,4 +140,6 @@ QUERIES = {
     "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op7_exact_dedup": (op7_exact_dedup, SQL7),
     "op8_personal_data": (op8_personal_data, None),
+    "op9_license_scan": (op9_license_scan, SQL9),
+    "op10_token_counts": (op10_token_counts, None),
 }

@@ -76,7 +76,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, limit=2)
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, limit=2).drop("group")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

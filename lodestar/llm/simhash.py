@@ -38,8 +38,8 @@ def bit_majority(h: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(id_col: str, text_col: str, shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _fingerprints(id_col: str, text_col: str, shingle: int, carry: tuple[str, ...]):
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carry)])
 
     def run(batches):
         digest = xxhash.xxh64_intdigest
@@ -63,12 +63,11 @@ def _fingerprints(id_col: str, text_col: str, shingle: int):
                     if a == b:
                         continue
                     w = min(shingle, b - a)
-                    # copy() keeps the (start, end) lists short for long texts
                     p, q = starts[a:b - w + 1].tolist(), ends[a + w - 1:b].tolist()
                     h = np.fromiter((digest(data[x:y], SEED) for x, y in zip(p, q, strict=True)), np.uint64, len(p))
                     fps[i + k] = bit_majority(h)
-            ids = batch.column(batch.schema.get_field_index(id_col))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+            ids, *rest = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, *carry))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *rest], schema=schema)
 
     return run
 
@@ -247,10 +246,10 @@ def _search(limit: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of the whole text's word shingles, repeats included; no words give 0."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(docs, _fingerprints("doc_id", "text", shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and long columns to carry): 64-bit SimHash of the whole text's word shingles, repeats included; no words give 0."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return map_batches(docs, _fingerprints("doc_id", "text", shingle, carry), ", ".join(f"`{c}` long" for c in ("doc_id", "fp", *carry)))
 
 
 def fingerprint_links(fps: DataFrame, limit: int = 2, block: int = BLOCK) -> DataFrame:
@@ -270,18 +269,19 @@ def fingerprint_links(fps: DataFrame, limit: int = 2, block: int = BLOCK) -> Dat
     return map_batches(sent, _search(limit), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 2, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 2, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, group, and long columns to carry.
 
     Documents link when their fingerprints differ in at most ``limit`` bits; component_id is the smallest
     doc_id reachable. Null and empty texts have fingerprint zero and link like any other. Rows that share a
-    doc_id each get a row; a null id is never the smallest unless all are null. Other columns are not read.
+    doc_id each get a row; a null id is never the smallest unless all are null. ``group`` names the component by one of
+    its fingerprints, also where ids are null. Other columns than those named are not read.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
+    fps = cut(fingerprints(docs, id_col, text_col, shingle, carry))
     lowest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = cut(components(fingerprint_links(fps, limit, block)))
     classes = lowest.join(roots, lowest.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     classes = cut(classes)
     group_low = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(group_low, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = classes.join(group_low, "root").select("fp", "component_id", F.col("root").alias("group"))
+    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", *carry)

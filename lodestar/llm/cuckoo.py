@@ -19,7 +19,7 @@ class CuckooFilter:
     @classmethod
     def of(cls, keys) -> CuckooFilter:
         """Sized for 75 % load; an overfull one doubles and starts again."""
-        need = max(16, 1 << int(np.ceil(np.log2(max(1, len(keys)) / (0.75 * SLOTS)))))
+        need = max(16, 1 << int(len(keys) / (0.75 * SLOTS)).bit_length())
         while True:
             out = cls(need)
             if all(out.insert(k) for k in keys):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,11 +149,12 @@ def top_bits(key: Column, bits: int) -> Column:
 
 
 def prefix_directory(keys: DataFrame, key: str, capacity: int, first_bits: int = 10, step: int = 4, most_bits: int = 60):
-    """Extendible directory over the distinct 64-bit ``key`` values: (global depth, slot -> bucket).
+    """Extendible directory over the distinct 64-bit ``key`` values: (global depth, first keys of the buckets).
 
     Buckets start as one; each one that holds over ``capacity`` keys splits by its next bit, and the
     directory doubles when a bucket's depth passes the global one. What the driver sees are counts by
-    prefix, at most 2^first_bits of them or 2^step for each overfull prefix: some keys / capacity.
+    prefix, at most 2^first_bits of them or 2^step for each overfull prefix: some keys / capacity. Of the
+    2^depth slots it keeps the runs that share a bucket, so a deep directory of clustered keys stays small.
     Bucket numbers follow key order.
     """
     leaves: list[tuple[int, int]] = []  # (prefix, depth), in any order
@@ -183,19 +185,20 @@ def prefix_directory(keys: DataFrame, key: str, capacity: int, first_bits: int =
         part = keys.join(F.broadcast(over), top_bits(F.col(key), bits) == F.col("p"), "left_semi")
         open_prefixes = [(p, bits) for p in overfull]
         bits += step
-    depth = max(1, max(d for _, d in leaves))
-    leaves.sort(key=lambda x: x[0] << (64 - x[1]))
-    slots = [b for b, (_, d) in enumerate(leaves) for _ in range(1 << (depth - d))]
-    return depth, slots
+    starts = np.array(sorted((p << (64 - d)) & ((1 << 64) - 1) if d else 0 for p, d in leaves), np.uint64)
+    return max(d for _, d in leaves), starts
 
 
 def with_bucket(df: DataFrame, key: str, directory, name: str = "bucket") -> DataFrame:
-    """Add the bucket of ``key``. The directory's slots are broadcast: their number is bounded by keys / capacity."""
-    depth, slots = directory
-    if max(slots) == 0:
-        return df.withColumn(name, F.lit(0))
-    rows = df.sparkSession.createDataFrame(list(enumerate(slots)), f"__slot long, {name} int")
-    return df.withColumn("__slot", top_bits(F.col(key), depth)).join(F.broadcast(rows), "__slot", "left").drop("__slot")
+    """Add the bucket of ``key``: the last one that starts at or before it, keys read as unsigned."""
+    _, starts = directory
+    held = df.sparkSession.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, keys.to_numpy(np.int64).view(np.uint64), side="right") - 1)
+
+    return df.withColumn(name, bucket(key))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -55,6 +55,28 @@ def upsert(master: DataFrame | None, run: DataFrame, key: str, as_of: str,
     return dedup_first(both, [key], ["__src", *order_by]).drop("__src")
 
 
+def fold_runs(runs: DataFrame, run_col: str, key: str, order_by: Sequence[ColumnOrName]) -> DataFrame:
+    """T01 over a whole history at once: what upserting the runs one by one, oldest first, leaves behind.
+
+    Equal to folding :func:`upsert` from an empty master with each run's ``run_col`` (as text) for its stamp,
+    but in one pass: a key's row is the first of its last run, ``first_seen`` its first run, and only keys that
+    the very last run introduced are new. NULL keys are one group that never counts as known: a row from a later
+    run than the first has no ``first_seen``.
+    """
+    ends = runs.agg(F.min(run_col).alias("first"), F.max(run_col).alias("last")).first()
+    rows = dedup_first(runs, [key], [F.col(run_col).desc(), *order_by])
+    since = runs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(run_col).alias("__since"))
+    first = F.lit(ends["first"])
+    own = F.when(F.col(run_col) == first, first)  # of NULL keys
+    rows = rows.join(since, on=key, how="left").withColumn("__since", F.coalesce("__since", own))
+    known = F.col(key).isNotNull() | F.lit(ends["first"] == ends["last"])
+    return rows.withColumns({
+        "is_new": F.when(known & (F.col("__since") == F.lit(ends["last"])), "Yes").otherwise("No"),
+        "first_seen": F.coalesce(F.col("__since").cast("string"), F.lit("")),
+        "last_seen": F.col(run_col).cast("string"),
+    }).drop("__since")
+
+
 def merge_stats(master: DataFrame | None, run: DataFrame, key: str) -> DataFrame:
     """New / updated keys (distinct, non-null) and total rows after the upsert, in one pass."""
     a = run.select(F.col(key).alias("__k"), F.lit(1).alias("__r"), F.lit(0).alias("__m"))

@@ -10,7 +10,7 @@ from lodestar.operators import dedup as W
 from lodestar.operators import joins as J
 from lodestar.operators.match import match_recruiters
 from lodestar.operators.sets import stack_recruiters, union_dedup
-from lodestar.operators.upsert import merge_stats, upsert
+from lodestar.operators.upsert import fold_runs, merge_stats, upsert
 from lodestar.plans import sqlx as S
 from lodestar.plans.fixtures import C_ORDER, P_ORDER, duck_with
 from lodestar.plans.registry import C_ORD_SQL, P_ORD_SQL, C, E, P, register
@@ -283,6 +283,19 @@ def g06_merge_stats(spark, sf):
     return merge_stats(m1, b, "k")
 
 
+@register("t01_fold_runs", f"""{duck_with('E')},
+B AS (SELECT min(run_date) AS f, max(run_date) AS l FROM E),
+W AS (SELECT * FROM E QUALIFY row_number() OVER (PARTITION BY k ORDER BY run_date DESC, seq) = 1),
+M AS (SELECT k, min(run_date) AS since FROM E WHERE k IS NOT NULL GROUP BY k)
+SELECT W.k, seq, value, run_date,
+  CASE WHEN W.k IS NULL THEN CASE WHEN f = l THEN 'Yes' ELSE 'No' END WHEN since = l THEN 'Yes' ELSE 'No' END AS is_new,
+  CASE WHEN W.k IS NOT NULL THEN CAST(since AS VARCHAR) WHEN run_date = f THEN CAST(f AS VARCHAR) ELSE '' END AS first_seen,
+  CAST(run_date AS VARCHAR) AS last_seen
+FROM W LEFT JOIN M ON W.k = M.k, B""")
+def t01_fold_runs(spark, sf):
+    return fold_runs(E(spark, sf).select("k", "seq", "value", "run_date"), "run_date", "k", ["seq"])
+
+
 # ---- J09: person → e-mail candidate within a domain ------------------------------------
 from lodestar.profiles.jobs import HR_TERMS  # noqa: E402
 

@@ -22,17 +22,24 @@ HEADLINE = [
     "m03_normalise_salary",
     "f05_filter_region",
     "query_tool_page",
+    "j02_match_recruiters",
+    "g01_j03_company_report",
+    "w07_upsert",
+    "j09_match_candidate",
+    "x05_extract_links",
 ]
 
 
 def main() -> None:
     from lodestar.plans.catalog import QUERIES
+    from lodestar.plans import fixtures
     from lodestar.session import local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus=cpus, partitions=int(cpus) * 2, app="lodestar-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    fixtures.SPREAD = int(cpus)
     names = [n for n in HEADLINE if n in QUERIES] + [n for n in sys.argv[1:] if n in QUERIES]
     times = {}
     # Warm-up: JVM start, parquet footer reads, codegen caches.

@@ -22,9 +22,14 @@ def trim_ws(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
+def plain_spaces(c: ColumnOrName) -> Column:
+    """NBSP → space: regex classes of white space leave it out on the JVM."""
+    return F.replace(col(c), F.lit("\u00a0"), F.lit(" "))
+
+
 def clean_text(c: ColumnOrName) -> Column:
     """Ingest normalisation (K0): NBSP → space, NULL → ''."""
-    return F.coalesce(F.regexp_replace(col(c), "\u00a0", " "), F.lit(""))
+    return F.coalesce(plain_spaces(c), F.lit(""))
 
 
 def is_missing(c: ColumnOrName) -> Column:
@@ -137,16 +142,6 @@ def cap_list(c: ColumnOrName, n: int) -> Column:
     return F.slice(col(c), 1, n)
 
 
-# Above this many terms a lexicon test is one quoted-alternation regex instead of
-# an OR of ``contains`` calls (keeps generated methods under the JVM 64 KB limit).
-ALTERNATION_OVER = 12
-
-
-def literal_alternation(terms: Iterable[str]) -> str:
-    """Regex matching any of the literal terms (each quoted with \\Q…\\E)."""
-    return "(?:" + "|".join("\\Q" + t + "\\E" for t in terms) + ")"
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (a lambda over a Column).
 
@@ -159,17 +154,11 @@ def let(value: Column, body) -> Column:
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    """True when any literal term occurs in ``text``."""
+    """True when any literal term occurs in ``text``: one test over the array of terms, however many."""
     terms = list(terms)
     if not terms:
         return F.lit(False)
-    if len(terms) > ALTERNATION_OVER:
-        return text.rlike(literal_alternation(terms))
-    out = None
-    for t in terms:
-        e = text.contains(t)
-        out = e if out is None else (out | e)
-    return out
+    return let(text, lambda t: F.exists(F.lit(terms), t.contains))
 
 
 def count_terms(text: Column, terms: Iterable[str]) -> Column:

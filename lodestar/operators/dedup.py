@@ -73,11 +73,7 @@ def dedup_richest(df: DataFrame, key: ColumnOrName, order_by: Sequence[ColumnOrN
 
 
 def merge_richest(a: DataFrame, b: DataFrame, key: str, order_by: Sequence[ColumnOrName]) -> DataFrame:
-    """W06 as a merge of two result sets: if one side is empty the other is returned as is."""
-    if a.isEmpty():
-        return b
-    if b.isEmpty():
-        return a
+    """W06 as a merge of two result sets; duplicates go also when one side is empty."""
     u = a.unionByName(b, allowMissingColumns=True)
     return dedup_richest(u, key, order_by, cols=[c for c in u.columns if not c.startswith("_")])
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.classify import is_inside, is_outside, keep_region, work_type
 from lodestar.functions.money import parse_salary_filter, salary_value
-from lodestar.functions.text import ColumnOrName, col, contains_any, keyword_tokens, trim_ws
-from lodestar.profiles.jobs import STOP_WORDS
+from lodestar.functions.text import ColumnOrName, col, contains_any, keyword_tokens, let, trim_ws
+from lodestar.profiles.jobs import JOBS, STOP_WORDS
 
 
 def contains_ci(c: ColumnOrName, needle: str) -> Column:
@@ -44,10 +44,12 @@ def salary_predicate(filter_text: str | None, text: str = "salary", min_amount:
     lo, hi, unit = parse_salary_filter(filter_text)
     if lo is None:
         return None
-    v = salary_value(text, min_amount, max_amount, currency)
-    ok = v["value"].isNotNull() & (v["unit"] == unit)
-    ok = ok & (v["value"].between(lo, hi) if hi is not None else v["value"] >= lo)
-    return F.coalesce(ok, F.lit(False))
+
+    def fits(v: Column) -> Column:
+        bound = v["value"].between(lo, hi) if hi is not None else v["value"] >= lo
+        return F.coalesce((v["unit"] == unit) & bound, F.lit(False))
+
+    return let(salary_value(text, min_amount, max_amount, currency), fits)
 
 
 def where_salary(df: DataFrame, filter_text: str | None, text: str = "salary", **cols) -> DataFrame:
@@ -69,7 +71,7 @@ def where_work_type(df: DataFrame, wanted: str | None, flag: str | None = None,
     return df.where(work_type(flag if flag in df.columns else None, *cols) == w)
 
 
-def filter_region(df: DataFrame, c: str, inside: Sequence[str], outside: Sequence[str],
+def filter_region(df: DataFrame, c: str, inside: Sequence[str] = JOBS.inside, outside: Sequence[str] = JOBS.outside,
                   strict: bool = False) -> DataFrame:
     """tri-state region filter (blank → keep unless strict; inside beats outside)."""
     return df.where(keep_region(c, inside, outside, strict))
@@ -133,9 +135,15 @@ def min_years(df: DataFrame, n: int, c: str = "min_experience_years") -> DataFra
     return df.where(F.col(c) >= n)
 
 
-def exclude_values(df: DataFrame, c: str, deny: Sequence[str]) -> DataFrame:
-    """drop rows whose normalised value is in ``deny``."""
-    return df.where(~F.lower(trim_ws(F.coalesce(F.col(c), F.lit("")))).isin(*[d.lower() for d in deny]))
+def exclude_values(df: DataFrame, c: str, deny: Sequence[str], fallback: Sequence[str] = ()) -> DataFrame:
+    """drop rows whose normalised value is in ``deny``; if nothing is left, the ``fallback`` values instead
+    (rows of that one column)."""
+    kept = df.where(~F.lower(trim_ws(F.coalesce(F.col(c), F.lit("")))).isin(*[d.lower() for d in deny]))
+    if not fallback:
+        return kept
+    none_left = kept.agg((F.count(F.lit(1)) == 0).alias("__empty"))
+    instead = df.sparkSession.createDataFrame([(v, True) for v in fallback], f"{c} string, __empty boolean")
+    return kept.unionByName(instead.join(none_left, "__empty").drop("__empty"), allowMissingColumns=True)
 
 
 def where_equals(df: DataFrame, c: str, value: str | None) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import (ColumnOrName, clean_company, col, domain_slug, is_missing,
                                      norm_name)
-from lodestar.operators.dedup import dedup_first
 
 
 def match_exact(left: DataFrame, right: DataFrame, left_key: ColumnOrName, right_key: ColumnOrName) -> DataFrame:
@@ -87,8 +86,10 @@ def prefer(df: DataFrame, group: Sequence[str], pred: Column, flag: str = "prefe
     whole-group window buffering).
     """
     x = df.withColumn("__p", F.coalesce(pred, F.lit(False)))
-    has = x.groupBy(*group).agg(F.max("__p").alias("__any"))
-    return x.join(has, on=list(group), how="left").where(F.col("__p") | ~F.col("__any")).drop("__p", "__any")
+    has = x.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.max("__p").alias("__any"))
+    same = [x[g].eqNullSafe(has[f"__g{i}"]) for i, g in enumerate(group)]  # rows without a group are one too
+    kept = x.join(has, on=same, how="left").where(F.col("__p") | ~F.col("__any"))
+    return kept.drop("__p", "__any", *[f"__g{i}" for i in range(len(group))])
 
 
 def match_candidate(people: DataFrame, cands: DataFrame, domain: str, name: str,
@@ -153,8 +154,3 @@ def pick_preferred(values: DataFrame, value: str, order_col: str, priority: Sequ
     u = chosen.unionByName(fb)
     best = u.agg(F.min("__src").alias("__m"))
     return u.join(F.broadcast(best), F.col("__src") == F.col("__m")).drop("__src", "__m", "__prio")
-
-
-def dedup_pairs(df: DataFrame, keys: Sequence[str], order_by: Sequence[ColumnOrName]) -> DataFrame:
-    """W04 on the match output: one row per (job, recruiter)."""
-    return dedup_first(df, keys, order_by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.classify import work_type
+from lodestar.functions.money import salary_max
 from lodestar.operators.filters import (salary_predicate, where_contains, where_location,
                                         where_work_type)
 from lodestar.profiles.jobs import META_REGION_TERMS
@@ -20,14 +21,18 @@ SORT_ALIASES = {
 
 
 def sort_by(df: DataFrame, key: str | None, descending: bool = False, tie_break: tuple[str, ...] = (),
-            aliases: dict[str, str] = SORT_ALIASES) -> DataFrame:
-    """Sort by an alias with NULLs last in both directions; unknown column → unsorted."""
+            aliases: dict[str, str] = SORT_ALIASES, numeric: bool = False) -> DataFrame:
+    """Sort by an alias with NULLs last in both directions; unknown column → unsorted.
+
+    ``numeric`` sorts pay by its upper number (M07) instead of its text.
+    """
     if not key:
         return df
     c = aliases.get(key.lower(), key)
     if c not in df.columns:
         return df
-    first = F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()
+    value = salary_max(c) if numeric and c == "salary" else F.col(c)
+    first = value.desc_nulls_last() if descending else value.asc_nulls_last()
     return df.orderBy(first, *[F.col(t).asc_nulls_last() for t in tie_break])
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# Partitions that the fact inputs are dealt to first; None leaves them as they are read. Set by the bench,
+# whose inputs are files of one row group; a real input has many splits.
+SPREAD: int | None = None
+
 # Total order of postings rows (unique): "keep first" means first in this order.
 P_ORDER = ["source_rank", "posted_ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
 C_ORDER = ["kind_rank", "seq"]
@@ -24,9 +28,11 @@ SELECT
   'https://p' || CAST(l.l_orderkey % 5 AS STRING) || '.example/j/' || CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) AS item_url,
   CASE l.l_orderkey % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'delta' ELSE 'omega' END AS platform,
   CAST(l.l_orderkey % 5 AS INT) AS source_rank,
-  CASE p.p_type WHEN 'PROMO' THEN 'Head of ' WHEN 'ECONOMY' THEN 'Senior Manager ' WHEN 'STANDARD' THEN 'VP ' WHEN 'LARGE' THEN 'Growth Lead ' ELSE '' END || p.p_name AS title,
+  CASE l.l_partkey % 23 WHEN 0 THEN 'Head of Growth' WHEN 1 THEN 'VP Marketing' WHEN 2 THEN 'Brand Manager' WHEN 3 THEN 'Product Marketing Lead' WHEN 4 THEN 'Market Analyst' ELSE
+    CASE p.p_type WHEN 'PROMO' THEN 'Head of ' WHEN 'ECONOMY' THEN 'Senior Manager ' WHEN 'STANDARD' THEN 'VP ' WHEN 'LARGE' THEN 'Growth Lead ' ELSE '' END || p.p_name END AS title,
   CASE l.l_linenumber % 4 WHEN 0 THEN s.s_name WHEN 1 THEN '  ' || upper(s.s_name) || ' ' WHEN 2 THEN s.s_name || ' Pvt Ltd' ELSE lower(s.s_name) END AS company,
-  CASE l.l_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Remote' WHEN 2 THEN n.n_name || ', ' || r.r_name WHEN 3 THEN r.r_name WHEN 4 THEN 'Hybrid - ' || n.n_name WHEN 5 THEN NULL ELSE n.n_name END AS location,
+  CASE (l.l_partkey + l.l_linenumber) % 13 WHEN 0 THEN '' WHEN 1 THEN 'Remote' WHEN 2 THEN n.n_name || ', ' || r.r_name WHEN 3 THEN r.r_name WHEN 4 THEN 'Hybrid - ' || n.n_name WHEN 5 THEN NULL
+    WHEN 6 THEN 'Bengaluru, Karnataka' WHEN 7 THEN 'Dubai, UAE' WHEN 8 THEN 'New York, USA' WHEN 9 THEN 'India' WHEN 10 THEN 'Remote - London' ELSE n.n_name END AS location,
   CASE l.l_partkey % 12
     WHEN 0 THEN '₹' || CAST(CAST(l.l_quantity AS INT) AS STRING) || '-' || CAST(CAST(l.l_quantity AS INT)+5 AS STRING) || ' LPA'
     WHEN 1 THEN CAST(CAST(l.l_quantity AS INT) AS STRING) || 'L'
@@ -43,7 +49,9 @@ SELECT
     WHEN 1 THEN CAST(l.l_linenumber+4 AS STRING) || ' to ' || CAST(l.l_linenumber+9 AS STRING) || ' years'
     WHEN 2 THEN CAST(l.l_linenumber*3 AS STRING) || '+ years' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'minimum ' || CAST(l.l_linenumber*20 AS STRING) || ' years' END AS experience,
   'Lead the ' || p.p_name || ' line for ' || lower(r.r_name) || '; manage ' || lower(l.l_returnflag) || ' returns across all plants. ' ||
-    CASE l.l_linestatus WHEN 'O' THEN 'Enterprise saas crm pipeline role' ELSE 'Retail consumer app and marketplace role' END AS description,
+    CASE (l.l_partkey + l.l_linenumber) % 7 WHEN 0 THEN 'Enterprise saas crm pipeline role' WHEN 1 THEN 'Retail consumer app and marketplace role'
+      WHEN 2 THEN 'Direct to consumer shopify online store' WHEN 3 THEN 'Enterprise crm for retail fashion' WHEN 4 THEN 'Plain role'
+      WHEN 5 THEN 'At least 6 years of experience, saas' ELSE 'Needs 8-12 years, consumer brand awareness' END AS description,
   l.l_shipdate AS posted_ts, l.l_extendedprice AS price, l.l_partkey, l.l_suppkey, l.l_orderkey, l.l_linenumber
 FROM {lineitem} l JOIN {part} p ON l.l_partkey=p.p_partkey JOIN {supplier} s ON l.l_suppkey=s.s_suppkey
 JOIN {nation} n ON s.s_nationkey=n.n_nationkey JOIN {region} r ON n.n_regionkey=r.r_regionkey
@@ -53,10 +61,10 @@ SELECT CASE WHEN c.c_custkey % 11 = 0 THEN '' ELSE 'https://people.example/in/'
   c.c_name AS person_name,
   CASE c.c_mktsegment WHEN 'BUILDING' THEN 'Recruitment Consultant at ' || s.s_name WHEN 'MACHINERY' THEN 'Talent Partner @ ' || s.s_name
        WHEN 'AUTOMOBILE' THEN 'Executive Search, board hiring' ELSE 'Plant Manager' END AS person_title,
-  CASE c.c_custkey % 4 WHEN 0 THEN s.s_name WHEN 1 THEN lower(s.s_name) || ' pvt ltd' WHEN 2 THEN s.s_name || ' Software Private Limited' ELSE '' END AS company,
+  CASE WHEN c.c_custkey % 13 = 5 THEN NULL ELSE CASE c.c_custkey % 4 WHEN 0 THEN s.s_name WHEN 1 THEN lower(s.s_name) || ' pvt ltd' WHEN 2 THEN s.s_name || ' Software Private Limited' ELSE '' END END AS company,
   CASE c.c_custkey % 3 WHEN 0 THEN 'hr' WHEN 1 THEN 'firm_post' ELSE 'consultant' END AS kind,
   CAST(c.c_custkey % 3 AS INT) AS kind_rank,
-  CASE c.c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lower(replace(c.c_name,'#','.')) || '@mail.example' END AS email,
+  CASE WHEN c.c_custkey % 3 = 1 AND c.c_custkey % 2 = 0 THEN '' ELSE CASE c.c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lower(replace(c.c_name,'#','.')) || '@mail.example' END END AS email,
   CASE WHEN c.c_custkey % 2 = 0 THEN 'https://posts.example/' || CAST(c.c_custkey % 200 AS STRING) ELSE '' END AS post_url,
   c.c_acctbal AS acctbal, c.c_custkey AS seq
 FROM {customer} c JOIN {supplier} s ON s.s_suppkey = c.c_custkey % 10
@@ -71,18 +79,35 @@ SELECT p_partkey AS id,
  CASE WHEN p_partkey % 17 = 0 THEN '{{bad json' ELSE
  '{{"' || CASE WHEN p_partkey % 2 = 0 THEN 'title' ELSE 'jobTitle' END || '":"' || p_name || '","companyData":{{"companyName":"' || p_brand || '"}},"locations":[' ||
  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{{"id":1,"name":"' || p_type || '"}}' ELSE '{{"id":1,"name":"' || p_type || '"}},{{"id":2,"name":"Remote"}}' END ||
- '],"min":' || CAST(p_size AS STRING) || ',"max":' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE CAST(p_size + 4 AS STRING) END || ',"createdTimeMs":' || CAST(1700000000000 + p_partkey * 86400000 AS STRING) || '}}' END AS payload
+ '],"min":' || CAST(p_size AS STRING) || ',"max":' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE CAST(p_size + 4 AS STRING) END || ',"tags":[{{"name":"' || p_brand || '"}},{{"name":""}},{{"name":"sql"}}],"salShow":' || CASE WHEN p_partkey % 7 = 0 THEN 'false' ELSE 'true' END ||
+ CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ',"maxSal":"' || CAST(p_size + 20 AS STRING) || '"' ELSE ',"minSal":"' || CAST(p_size AS STRING) || '","maxSal":"' || CAST(p_size + 20 AS STRING) || '"' END ||
+ CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ',"jobDetailUrl":"https://feed.example/x/' || CAST(p_partkey AS STRING) || '"' WHEN 2 THEN ',"jobDetailUrl":"/job/' || CAST(p_partkey AS STRING) || '"' ELSE ',"id":"i' || CAST(p_partkey AS STRING) || '"' END ||
+ ',"createdTimeMs":' || CASE WHEN p_partkey % 6 = 0 THEN '0' ELSE CAST(1700000000000 + p_partkey * 86400000 AS STRING) END || '}}' END AS payload
 FROM {part}
 """,
     "H": """
 SELECT page_id, url, html || '<script type="application/ld+json">' ||
- CASE page_id % 4 WHEN 0 THEN '{{"@type":"JobPosting","title":"Role ' || CAST(page_id AS STRING) || '","url":"' || url || '"}}'
-  WHEN 1 THEN '[{{"@type":"JobPosting","title":"Role A"}},{{"@type":"Event","title":"No"}}]'
+ CASE page_id % 4 WHEN 0 THEN '{{"@type":"JobPosting","title":"Role ' || CAST(page_id AS STRING) || '","url":"' || url || '","jobLocation":{{"address":{{"addressLocality":"Pune","addressRegion":"","addressCountry":"IN"}}}},"baseSalary":{{"currency":"INR","value":{{"minValue":' || CAST(page_id AS STRING) || ',"maxValue":' || CAST(page_id + 5 AS STRING) || ',"unitText":"YEAR"}}}}}}'
+  WHEN 1 THEN '[{{"@type":"JobPosting","title":"Role A","jobLocation":[{{"address":{{"addressLocality":"Goa"}}}}],"baseSalary":{{"value":{{"value":7}}}}}},{{"@type":"Event","title":"No"}}]'
   WHEN 2 THEN '{{"@type":"ItemList","itemListElement":[{{"item":{{"@type":"JobPosting","title":"Wrapped"}}}},{{"@type":"JobPosting","title":"Bare"}}]}}'
   ELSE '{{broken' END || '</script>' AS html
 FROM {pages}
 """,
-    "G": "SELECT page_id, url, html FROM {pages}",
+    "G": """
+SELECT page_id, url, html || '<h2>Role ' || CAST(page_id AS STRING) || '</h2><h3 class="t">Team <b>Alpha</b></h3>' || CASE page_id % 2 WHEN 0 THEN '<h4></h4><H4>Last</H4>' ELSE '' END ||
+ '<table><thead><tr><th>Role</th><th scope="col">Place</th></tr></thead><tr><td>Analyst ' || CAST(page_id AS STRING) || '</td><td> Pune </td></tr><tr></tr><tr class="r"><td><b>Lead</b></td><td></td></tr></table>' ||
+ '<dl><dt>Email us</dt><dd>a' || CAST(page_id AS STRING) || '@x.example</dd><dt class="k">Phone number</dt> <dd><b>12</b> 3</dd>' || CASE page_id % 4 WHEN 0 THEN '<dt>Birthday</dt><dd>May 1</dd>' ELSE '' END || '</dl>' ||
+ CASE page_id % 3 WHEN 0 THEN '<ul><li>Person</li><li>We are hiring</li></ul>' WHEN 1 THEN '<ul><li>#opentowork</li></ul>' ELSE '' END ||
+ '<a class="c" href="/job/' || CAST(page_id AS STRING) || '?src=x">Job title ' || CAST(page_id AS STRING) || '</a><p>Pune</p><p>5-8 Yrs</p><a href=''/job/' || CAST(page_id AS STRING) || ''' id="d">Job again</a> tail' AS html
+FROM {pages}
+""",
+    "K": """
+SELECT page_id, html || '<script id="__STATE__" type="application/json">' ||
+ CASE page_id % 5 WHEN 0 THEN '{{"props":{{"jobs":[{{"name":"Role ' || CAST(page_id AS STRING) || '","org":{{"label":"Acme"}},"cities":[{{"city":"Pune"}}],"exp":{{"from":3}},"link":"/r/' || CAST(page_id AS STRING) || '"}},{{"name":" ","heading":"Second"}},{{"org":{{"label":"No title"}}}}]}}}}'
+  WHEN 1 THEN '{{"props":{{"jobs":[]}},"data":{{"list":[{{"heading":"Other","org":{{"label":" Beta "}},"exp":{{"from":1,"to":4}}}}]}}}}'
+  WHEN 2 THEN '{{"data":{{"list":"none"}}}}' WHEN 3 THEN '{{broken' ELSE '{{"results":[{{"name":"Third"}}]}}' END || '</script>' AS html
+FROM {pages}
+""",
     "D": "SELECT doc_id, text, lang, source, n_chars FROM {documents}",
 }
 
@@ -94,6 +119,7 @@ VIEW_TABLES = {
     "J": ["part"],
     "H": ["pages"],
     "G": ["pages"],
+    "K": ["pages"],
     "D": ["documents"],
 }
 
@@ -106,10 +132,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build derived view ``name`` (P, C, E, J, H, G, D) from the parquet tables in ``sf_dir``."""
     from lodestar.session import spread
     dfs = {t: table(spark, sf_dir, t) for t in VIEW_TABLES[name]}
-    # The large fact inputs are spread so row-wise text rules use every core.
-    for t in ("lineitem", "documents", "pages", "events"):
-        if t in dfs:
-            dfs[t] = spread(dfs[t])
+    if SPREAD:
+        dfs = {t: spread(d, SPREAD) if t in ("lineitem", "documents", "pages", "events") else d for t, d in dfs.items()}
     return spark.sql(VIEW_SQL[name], **dfs)
 
 

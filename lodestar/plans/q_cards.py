@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as N
-from lodestar.operators.extract import ANCHOR, card_fields, first_nonempty_strategy, positional_fields
+from lodestar.operators.extract import card_fields, first_strategy, positional_fields
 from lodestar.plans import sqlx as S
 from lodestar.plans.fixtures import duck_with, view
 from lodestar.plans.registry import P, register
@@ -28,10 +28,9 @@ B AS (SELECT page_id, min(strategy) AS best FROM U GROUP BY page_id)
 SELECT U.page_id, item, strategy FROM U JOIN B ON U.page_id = B.page_id AND U.strategy = B.best""")
 def x08_first_strategy(spark, sf):
     g = view(spark, sf, "G")
-    s0 = g.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_LONG_LINK), 1)).alias("item"))
-    s1 = g.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_H1), 1)).alias("h")) \
-        .select("page_id", N.strip_html("h").alias("item"))
-    return first_nonempty_strategy([s0, s1], "page_id").select("page_id", "item", "strategy")
+    links = F.regexp_extract_all("html", F.lit(_LONG_LINK), 1)
+    heads = F.transform(F.regexp_extract_all("html", F.lit(_H1), 1), N.strip_html)
+    return first_strategy(g, "page_id", [links, heads])
 
 
 CARD = {"place": r"(?i)(remote|hybrid|nation_\d+|asia|europe|africa|america|middle east)",

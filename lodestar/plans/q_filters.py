@@ -200,7 +200,7 @@ def f13_shortlist(spark, sf):
     x = p.withColumn("experience_required", extract_experience("experience", "title", "description"))
     x = x.withColumn("min_experience_years",
                      experience_range_fallback("experience", "experience_required", "description")["lo"])
-    x = x.withColumn("shortlist", shortlist_flag(x, title_term="head"))
+    x = x.withColumn("shortlist", shortlist_flag("head"))
     seen = p.where(F.col("posted_ts") < F.lit("1994-01-01 00:00:00").cast("timestamp_ntz")).select("item_url")
     return mark_shortlist(x, seen, "item_url").select("item_url", "shortlist")
 
@@ -208,9 +208,16 @@ def f13_shortlist(spark, sf):
 # ---- sort / paging / query tool -------------------------------------------------------
 
 @register("o01_sort_by", f"""{duck_with('P')}
-SELECT item_url, salary FROM P ORDER BY salary DESC NULLS LAST, item_url ASC LIMIT 100""")
+SELECT item_url, salary FROM P ORDER BY salary DESC NULLS LAST, item_url ASC""")
 def o01_sort_by(spark, sf):
-    return sort_by(P(spark, sf), "salary", True, ("item_url",)).select("item_url", "salary").limit(100)
+    return sort_by(P(spark, sf), "salary", True, ("item_url",)).select("item_url", "salary")
+
+
+@register("o01_sort_by_amount", f"""{duck_with('P')}
+SELECT item_url, {S.salary_max('salary')} AS amount FROM P ORDER BY amount DESC NULLS LAST, item_url ASC""")
+def o01_sort_by_amount(spark, sf):
+    rows = sort_by(P(spark, sf), "salary", True, ("item_url",), numeric=True)
+    return rows.select("item_url", M.salary_max("salary").alias("amount"))
 
 
 @register("o02_page", f"""{duck_with('P')}

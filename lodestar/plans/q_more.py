@@ -1,5 +1,5 @@
 """More registered plans: structured pay (M04), key changes (U02), dimension lookup (J07),
-snippet (X10) and card remainder (X11), with DuckDB oracles."""
+snippet (X10), card remainder (X11), projections and reports, with DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import money as M
 from lodestar.functions import text as N
-from lodestar.functions.years import exp_years  # noqa: F401
+from lodestar.operators.aggregate import summary_order
+from lodestar.operators.enrich import display, stamp, tag
+from lodestar.operators.extract import remainder, snippet
+from lodestar.operators.filters import exclude_values, filter_region
 from lodestar.operators.joins import lookup
 from lodestar.operators.sets import key_changes
 from lodestar.plans import sqlx as S
 from lodestar.plans.fixtures import duck_with, table, view
 from lodestar.plans.registry import C, E, P, register
-from lodestar.profiles.jobs import COMPANY_SUFFIXES, DOMAIN_TLDS, USD_TO_INR
+from lodestar.profiles.jobs import COMPANY_SUFFIXES, DOMAIN_TLDS, JOBS, USD_TO_INR
 
 _STRUCT_SQL = """SELECT item_url,
   CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN (l_partkey % 50 + 1) * 100000 WHEN 2 THEN (l_partkey % 50 + 1) ELSE (l_partkey % 50 + 1) * 1000 END
@@ -50,13 +53,13 @@ def m04_normalise_salary_struct(spark, sf):
 
 
 @register("u02_key_changes", f"""{duck_with('E')},
-A AS (SELECT DISTINCT k FROM E WHERE run_date <= DATE '2024-01-14' AND k IS NOT NULL),
-B AS (SELECT DISTINCT k FROM E WHERE run_date = DATE '2024-01-15' AND k IS NOT NULL)
+A AS (SELECT DISTINCT k FROM E WHERE run_date <= DATE '2024-01-02' AND k IS NOT NULL),
+B AS (SELECT DISTINCT k FROM E WHERE run_date > DATE '2024-01-02' AND k IS NOT NULL)
 SELECT 'new' AS change, k FROM B WHERE k NOT IN (SELECT k FROM A)
 UNION ALL SELECT 'updated', k FROM B WHERE k IN (SELECT k FROM A)""")
 def u02_key_changes(spark, sf):
     e = E(spark, sf)
-    new, upd = key_changes(e.where(F.col("run_date") == "2024-01-15"), e.where(F.col("run_date") <= "2024-01-14"), "k")
+    new, upd = key_changes(e.where(F.col("run_date") > "2024-01-02"), e.where(F.col("run_date") <= "2024-01-02"), "k")
     return new.select(F.lit("new").alias("change"), "k").unionByName(upd.select(F.lit("updated").alias("change"), "k"))
 
 
@@ -101,18 +104,73 @@ X AS (SELECT page_id, {_strip(S.ext('html', _TITLE, 1))} AS title,
 SELECT page_id, coalesce(substr(list_filter(paras, lambda x: length(x) > 40 AND x <> title)[1], 1, 300), '') AS snippet
 FROM X""")
 def x10_snippet(spark, sf):
-    g = view(spark, sf, "G")
-    title = N.strip_html(F.regexp_extract("html", _TITLE, 1))
-    paras = F.transform(F.regexp_extract_all("html", F.lit(_PARA), 1), lambda x: N.strip_html(x))
-    first = F.try_element_at(F.filter(paras, lambda x: (F.length(x) > 40) & (x != title)), F.lit(1))
-    return g.select("page_id", F.coalesce(F.substring(first, 1, 300), F.lit("")).alias("snippet"))
+    paras = F.transform(F.regexp_extract_all("html", F.lit(_PARA), 1), N.strip_html)
+    return view(spark, sf, "G").select("page_id", snippet(paras, N.strip_html(F.regexp_extract("html", _TITLE, 1))).alias("snippet"))
 
 
 @register("x11_remainder", f"""{duck_with('C')}
-SELECT seq, substr({S.trim_ws("replace(coalesce(person_title, ''), coalesce(company, ''), '')")}, 1, 300) AS remainder
-FROM C WHERE coalesce(company, '') <> ''""")
+SELECT seq, substr({S.trim_ws("CASE WHEN coalesce(company, '') = '' THEN coalesce(person_title, '') ELSE replace(coalesce(person_title, ''), company, '') END")}, 1, 300) AS remainder
+FROM C""")
 def x11_remainder(spark, sf):
-    c = C(spark, sf).where(F.coalesce("company", F.lit("")) != "")
-    rem = F.substring(N.trim_ws(F.replace(F.coalesce("person_title", F.lit("")), F.coalesce("company", F.lit("")))),
-                      1, 300)
-    return c.select("seq", rem.alias("remainder"))
+    return C(spark, sf).select("seq", remainder("person_title", "company").alias("remainder"))
+
+
+# ---- projections, reports and text helpers --------------------------------------------
+
+@register("p02_stamp", f"""{duck_with('P')}
+SELECT item_url, coalesce(nullif({S.trim_ws('experience')}, ''), '2026-01-01') AS experience FROM P""")
+def p02_stamp(spark, sf):
+    return stamp(P(spark, sf), "experience", "2026-01-01").select("item_url", "experience")
+
+
+@register("p03_tag", f"""{duck_with('P')}
+SELECT item_url, 'board' AS signal_source, 7 AS batch FROM P""")
+def p03_tag(spark, sf):
+    return tag(P(spark, sf), signal_source="board", batch=7).select("item_url", "signal_source", "batch")
+
+
+_WIDTHS = {"title": 14, "location": 6, "salary": 5}
+
+
+@register("p05_display", f"""{duck_with('P')}
+SELECT item_url, {', '.join(f"CASE WHEN {S.missing(c)} THEN '-' WHEN length({c}) > {n} THEN substr({c}, 1, {n - 1}) || '…' ELSE {c} END AS {c}" for c, n in _WIDTHS.items())} FROM P""")
+def p05_display(spark, sf):
+    return display(P(spark, sf), _WIDTHS).select("item_url", *_WIDTHS)
+
+
+@register("o03_summary_order", f"""{duck_with('P')}
+SELECT company, count(title) AS total_openings, row_number() OVER (ORDER BY count(title) DESC, company) AS place
+FROM P WHERE company IS NOT NULL GROUP BY company""")
+def o03_summary_order(spark, sf):
+    return summary_order(P(spark, sf).where("company IS NOT NULL").groupBy("company").agg(F.count("title").alias("total_openings")), "total_openings", "company")
+
+
+_WORD = r"(?i)[a-z](?:tion|ing|keit|elle)"
+
+
+@register("n11_distinct_join", f"""{duck_with('D')},
+X AS (SELECT doc_id, regexp_extract_all(text, {S.lit(_WORD)}) AS l FROM D)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS found FROM X""")
+def n11_distinct_join(spark, sf):
+    return view(spark, sf, "D").select("doc_id", N.distinct_join("text", _WORD).alias("found"))
+
+
+_platforms = ["alpha", "beta", "gamma", "delta", "omega"]
+
+
+@register("f12_exclude_values_fallback", f"""{duck_with('P')},
+X AS (SELECT DISTINCT platform FROM P),
+A AS (SELECT platform, 'some' AS part FROM X WHERE platform NOT IN ('alpha', 'beta')),
+B AS (SELECT platform FROM X WHERE platform NOT IN ({', '.join(map(S.lit, _platforms))}))
+SELECT * FROM A UNION ALL SELECT platform, 'none' FROM B
+UNION ALL SELECT platform, 'none' FROM (VALUES ('india'), ('asia')) t(platform) WHERE NOT EXISTS (SELECT 1 FROM B)""")
+def f12_exclude_values_fallback(spark, sf):
+    x = P(spark, sf).select("platform").distinct()
+    some = exclude_values(x, "platform", ["Alpha", "beta"], fallback=["india", "asia"]).withColumn("part", F.lit("some"))
+    return some.unionByName(exclude_values(x, "platform", _platforms, fallback=["india", "asia"]).withColumn("part", F.lit("none")))
+
+
+@register("f05_filter_region_default", f"""{duck_with('P')}
+SELECT item_url, location FROM P WHERE {S.keep_region('location', list(JOBS.inside), list(JOBS.outside))}""")
+def f05_filter_region_default(spark, sf):
+    return filter_region(P(spark, sf), "location").select("item_url", "location")

@@ -141,10 +141,7 @@ def g07_step_counts(spark, sf):
 SELECT kind, count(*) AS n, count_if({S.missing('email')}) AS n_empty,
   (count(*) > 5 AND count_if({S.missing('email')}) > count(*) * 0.5) AS alert FROM C GROUP BY kind""")
 def g08_quality_alert(spark, sf):
-    c = C(spark, sf)
-    n = F.count(F.lit(1))
-    bad = F.count_if(is_missing("email"))
-    return c.groupBy("kind").agg(n.alias("n"), bad.alias("n_empty"), ((n > 5) & (bad > n * 0.5)).alias("alert"))
+    return G.quality_alert(C(spark, sf), is_missing("email"), by=["kind"])
 
 
 @register("u03_union_dedup", f"""{duck_with('C')},
@@ -208,15 +205,15 @@ def j01_match_exact(spark, sf):
     return J.match_exact(p, c, "pc", "cc").select("item_url", "seq")
 
 
-_run_a = "run_date <= DATE '2024-01-14'"
-_run_b = "run_date = DATE '2024-01-15'"
+_run_a = "run_date <= DATE '2024-01-02'"
+_run_b = "run_date > DATE '2024-01-02'"
 
 
 @register("j04_unseen", f"""{duck_with('E')}
 SELECT seq, k FROM E WHERE {_run_b} AND (k IS NULL OR k NOT IN (SELECT k FROM E WHERE {_run_a} AND k IS NOT NULL))""")
 def j04_unseen(spark, sf):
     e = E(spark, sf)
-    return J.unseen(e.where(F.col("run_date") == "2024-01-15"), e.where(F.col("run_date") <= "2024-01-14"), "k") \
+    return J.unseen(e.where(F.col("run_date") > "2024-01-02"), e.where(F.col("run_date") <= "2024-01-02"), "k") \
         .select("seq", "k")
 
 
@@ -224,7 +221,7 @@ def j04_unseen(spark, sf):
 SELECT seq, k FROM E WHERE {_run_b} AND k IN (SELECT k FROM E WHERE {_run_a})""")
 def j05_returning(spark, sf):
     e = E(spark, sf)
-    return J.returning(e.where(F.col("run_date") == "2024-01-15"), e.where(F.col("run_date") <= "2024-01-14"), "k") \
+    return J.returning(e.where(F.col("run_date") > "2024-01-02"), e.where(F.col("run_date") <= "2024-01-02"), "k") \
         .select("seq", "k")
 
 
@@ -233,8 +230,8 @@ M AS (SELECT k, min(run_date) AS first_run FROM E WHERE {_run_a} AND k IS NOT NU
 SELECT seq, E.k, coalesce(M.first_run, E.run_date) AS first_run FROM E LEFT JOIN M ON E.k = M.k WHERE {_run_b}""")
 def j06_carry_forward(spark, sf):
     e = E(spark, sf)
-    new = e.where(F.col("run_date") == "2024-01-15").withColumn("first_run", F.col("run_date"))
-    master = e.where(F.col("run_date") <= "2024-01-14").withColumn("first_run", F.col("run_date"))
+    new = e.where(F.col("run_date") > "2024-01-02").withColumn("first_run", F.col("run_date"))
+    master = e.where(F.col("run_date") <= "2024-01-02").withColumn("first_run", F.col("run_date"))
     return J.carry_forward(new, master, "k", "first_run", pick="min").select("seq", "k", "first_run")
 
 
@@ -249,26 +246,26 @@ def l09_prefer(spark, sf):
 
 def _upsert_parts(spark, sf):
     e = E(spark, sf).select("k", "seq", "value", "run_date")
-    a = e.where(F.col("run_date") <= "2024-01-14")
-    b = e.where(F.col("run_date") == "2024-01-15")
-    m1 = upsert(None, a, "k", "2024-01-14 00:00:00", ["seq"])
+    a = e.where(F.col("run_date") <= "2024-01-02")
+    b = e.where(F.col("run_date") > "2024-01-02")
+    m1 = upsert(None, a, "k", "2024-01-02 00:00:00", ["seq"])
     return m1, b
 
 
 @register("w07_upsert", f"""{duck_with('E')},
-A AS (SELECT k, seq, value, run_date, 'Yes' AS is_new, '2024-01-14 00:00:00' AS first_seen,
-        '2024-01-14 00:00:00' AS last_seen FROM E WHERE {_run_a} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1),
+A AS (SELECT k, seq, value, run_date, 'Yes' AS is_new, '2024-01-02 00:00:00' AS first_seen,
+        '2024-01-02 00:00:00' AS last_seen FROM E WHERE {_run_a} QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq) = 1),
 B AS (SELECT k, seq, value, run_date FROM E WHERE {_run_b}),
 BB AS (SELECT B.*, CASE WHEN B.k IS NOT NULL AND A.k IS NULL THEN 'Yes' ELSE 'No' END AS is_new,
-        CASE WHEN B.k IS NOT NULL AND A.k IS NULL THEN '2024-01-15 00:00:00'
+        CASE WHEN B.k IS NOT NULL AND A.k IS NULL THEN '2024-01-30 00:00:00'
              WHEN B.k IS NOT NULL THEN coalesce(A.first_seen, '') ELSE '' END AS first_seen,
-        '2024-01-15 00:00:00' AS last_seen, 0 AS src FROM B LEFT JOIN A ON B.k = A.k),
+        '2024-01-30 00:00:00' AS last_seen, 0 AS src FROM B LEFT JOIN A ON B.k = A.k),
 U AS (SELECT * FROM BB UNION ALL SELECT k, seq, value, run_date, 'No', first_seen, last_seen, 1 FROM A)
 SELECT k, seq, value, run_date, is_new, first_seen, last_seen FROM U
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY src, seq) = 1""")
 def w07_upsert(spark, sf):
     m1, b = _upsert_parts(spark, sf)
-    return upsert(m1, b, "k", "2024-01-15 00:00:00", ["seq"]).select(
+    return upsert(m1, b, "k", "2024-01-30 00:00:00", ["seq"]).select(
         "k", "seq", "value", "run_date", "is_new", "first_seen", "last_seen")
 
 

@@ -6,7 +6,7 @@ operators serve any listing-like table (products, tickets, leads).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # These word lists and thresholds must equal the original
@@ -308,7 +308,6 @@ class Profile:
     w_unknown_place: int = -15
     w_company: tuple = (10, 8, 6, 4)          # b2c/d2c, b2b, mixed, other
     w_fresh: tuple = (5, 2)
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Profile":
         return replace(self, **kw)

@@ -1,9 +1,7 @@
-"""Session helpers: a local builder for tests/bench and the shared checkpoint folder."""
+"""Session helpers: a local builder for tests and the bench."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -25,25 +23,6 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "lodest
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    On a cluster this must be set to shared storage; only when it is unset
-    (local tests) do we create a scratch folder and register it.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="lodestar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin ``df`` over the cluster when it arrives in fewer partitions than
-    the default parallelism (e.g. one large single-row-group file feeding CPU-heavy
-    text rules). At scale the input already has many splits and this is a no-op.
-    """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df, partitions: int):
+    """Round-robin ``df`` over ``partitions``: for a single-row-group file that feeds CPU-heavy text rules."""
+    return df.repartition(partitions)

@@ -121,15 +121,20 @@ def match_candidate(people: DataFrame, cands: DataFrame, domain: str, name: str,
     p = people.select(F.col(person_key).alias("__pk"), F.col(domain).alias("__d"), n.alias("__n"),
                       F.when(n.rlike(r"\S"), F.element_at(toks, 1)).alias("__t1"),
                       F.when(n.rlike(r"\S"), F.element_at(toks, -1)).alias("__tn"))
-    both = c.where((F.col("__f") != "") & (F.col("__l") != ""))
+    def earliest(rows: DataFrame, *names: str) -> DataFrame:
+        """Of candidates that match the same people only the first can win; the rest go before any join."""
+        first_of = rows.groupBy("__d", *names).agg(F.min(F.struct("__pos", "__val")).alias("__e"))
+        return first_of.select("__d", *names, F.col("__e.__pos").alias("__pos"), F.col("__e.__val").alias("__val"))
+
+    both = earliest(c.where((F.col("__f") != "") & (F.col("__l") != "")), "__f", "__l")
     one = c.where((F.col("__f") == "") | (F.col("__l") == ""))
+    by_first = earliest(one.where(F.col("__f") != ""), "__f")
+    by_last = earliest(one.where(F.col("__l") != ""), "__l")
     hits = contains_all_join(both.withColumn("__fl", F.array("__f", "__l")), "__pos", "__fl", p, "__pk", "__n",
                              part=["__d"])
     m_both = hits.join(both, on=["__d", "__pos"]).select("__pk", "__pos", "__val")
-    m_first = one.where(F.col("__f") != "").join(p, (one["__d"] == p["__d"]) & (one["__f"] == p["__t1"])) \
-        .select("__pk", "__pos", "__val")
-    m_last = one.where(F.col("__l") != "").join(p, (one["__d"] == p["__d"]) & (one["__l"] == p["__tn"])) \
-        .select("__pk", "__pos", "__val")
+    m_first = by_first.join(p, (by_first["__d"] == p["__d"]) & (by_first["__f"] == p["__t1"])).select("__pk", "__pos", "__val")
+    m_last = by_last.join(p, (by_last["__d"] == p["__d"]) & (by_last["__l"] == p["__tn"])).select("__pk", "__pos", "__val")
     named = m_both.unionByName(m_first).unionByName(m_last).withColumn("__rank", F.lit(0))
     first_c = c.groupBy("__d").agg(F.min_by("__val", F.col("__pos")).alias("__val"), F.min("__pos").alias("__pos"))
     fallback = p.join(first_c, on="__d").select("__pk", "__pos", "__val", F.lit(1).alias("__rank"))

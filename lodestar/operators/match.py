@@ -63,6 +63,52 @@ def contains_join(needles: DataFrame, nkey: str, ntext: str, hays: DataFrame, hk
     return out.distinct().withColumnsRenamed({"__nk": nkey, "__hk": hkey})
 
 
+def first_containing(needles: DataFrame, hays: DataFrame, text: str, order: str, out: str) -> DataFrame:
+    """(text, out): for each needle the hay of least ``order`` that contains it. Pairs are reduced as they are made.
+
+    Both tables hold distinct ``text`` values; ``hays`` also ``order``. Each needle of three letters and more looks only
+    at the hays of its rarest gram. Hays are grouped by their short substrings once, so a needle of one or two letters
+    meets a single row.
+    """
+    h = hays.select(F.col(text).alias("__hs"), F.col(order).alias("__o")).where(F.length("__hs") > 0)
+    n = needles.select(F.col(text).alias("__ns")).where(F.length("__ns") > 0)
+    best = F.min(F.struct("__o", "__hs")).alias("__b")
+    short = [n.where(F.length("__ns") == size).join(
+        h.select("__hs", "__o", F.explode(substrings(F.col("__hs"), size)).alias("__ns")).groupBy("__ns").agg(best), "__ns")
+        for size in range(1, GRAM)]
+    grams = h.select("__hs", "__o", F.explode(substrings(F.col("__hs"), GRAM)).alias("__g"))
+    count = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
+    long = n.where(F.length("__ns") >= GRAM).select("__ns", F.explode(substrings(F.col("__ns"), GRAM)).alias("__g"))
+    long = long.join(count, "__g", "left").groupBy("__ns").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__g").alias("g"))).alias("m"))
+    long = long.where("m.df > 0").select("__ns", F.col("m.g").alias("__g"))
+    pairs = long.join(grams, "__g").where(F.col("__hs").contains(F.col("__ns"))).groupBy("__ns").agg(best)
+    for s in short:
+        pairs = pairs.unionByName(s)
+    return pairs.select(F.col("__ns").alias(text), F.col("__b.__hs").alias(out), F.col("__b.__o").alias(order))
+
+
+def first_contained(hays: DataFrame, needles: DataFrame, text: str, order: str, out: str) -> DataFrame:
+    """(text, out): for each hay the needle of least ``order`` that it contains.
+
+    A needle is routed by its rarest gram over the hays; needles of one or two letters join the hays' substrings. Every
+    needle that a hay holds must be seen, but only the least is kept, task by task, before anything is shuffled on.
+    """
+    h = hays.select(F.col(text).alias("__hs")).where(F.length("__hs") > 0)
+    n = needles.select(F.col(text).alias("__ns"), F.col(order).alias("__o")).where(F.length("__ns") > 0)
+    best = F.min(F.struct("__o", "__ns")).alias("__b")
+    grams = h.select("__hs", F.explode(substrings(F.col("__hs"), GRAM)).alias("__g"))
+    count = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
+    long = n.where(F.length("__ns") >= GRAM).select("__ns", "__o", F.explode(substrings(F.col("__ns"), GRAM)).alias("__g"))
+    long = long.join(count, "__g", "left").groupBy("__ns", "__o").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__g").alias("g"))).alias("m"))
+    long = long.where("m.df > 0").select("__ns", "__o", F.col("m.g").alias("__g"))
+    pairs = grams.join(long, "__g").where(F.col("__hs").contains(F.col("__ns"))).groupBy("__hs").agg(best)
+    for size in range(1, GRAM):
+        subs = h.select("__hs", F.explode(substrings(F.col("__hs"), size)).alias("__ns"))
+        pairs = pairs.unionByName(subs.join(n.where(F.length("__ns") == size), "__ns").groupBy("__hs").agg(best))
+    pairs = pairs.groupBy("__hs").agg(F.min("__b").alias("__b"))
+    return pairs.select(F.col("__hs").alias(text), F.col("__b.__ns").alias(out), F.col("__b.__o").alias(order))
+
+
 def contains_all_join(needles: DataFrame, nkey: str, ntexts: str, hays: DataFrame, hkey: str, htext: str,
                       part: Sequence[str] = ()) -> DataFrame:
     """All (nkey, hkey[, part]) where *every* non-empty text of the array ``ntexts`` occurs in ``htext``.
@@ -114,10 +160,9 @@ def company_match(jobs: DataFrame, recruiters: DataFrame, job_company: str = "co
     if not substring:
         return exact
     rest = jk.join(exact.select("__jk"), on="__jk", how="left_anti")
-    a = contains_join(rest, "__jk", "__jk", rk, "__rk", "__rk")            # job ⊂ recruiter
-    b = contains_join(rk, "__rk", "__rk", rest, "__jk", "__jk")            # recruiter ⊂ job
-    pairs = a.unionByName(b).distinct().join(rk, on="__rk", how="inner")
-    first = pairs.groupBy("__jk").agg(F.min_by("__rk", F.col("__pos")).alias("__rk"))
+    left, right = rest.select(F.col("__jk").alias("__t")), rk.select(F.col("__rk").alias("__t"), "__pos")
+    found = first_containing(left, right, "__t", "__pos", "__rk").unionByName(first_contained(left, right, "__t", "__pos", "__rk"))
+    first = found.groupBy("__t").agg(F.min_by("__rk", F.col("__pos")).alias("__rk")).withColumnRenamed("__t", "__jk")
     return exact.unionByName(first)
 
 

@@ -50,7 +50,7 @@ SELECT
     WHEN 2 THEN CAST(l.l_linenumber*3 AS STRING) || '+ years' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'minimum ' || CAST(l.l_linenumber*20 AS STRING) || ' years' END AS experience,
   'Lead the ' || p.p_name || ' line for ' || lower(r.r_name) || '; manage ' || lower(l.l_returnflag) || ' returns across all plants. ' ||
     CASE (l.l_partkey + l.l_linenumber) % 7 WHEN 0 THEN 'Enterprise saas crm pipeline role' WHEN 1 THEN 'Retail consumer app and marketplace role'
-      WHEN 2 THEN 'Direct to consumer shopify online store' WHEN 3 THEN 'Enterprise crm for retail fashion' WHEN 4 THEN 'Plain role'
+      WHEN 2 THEN 'Direct to consumer shopify online store' WHEN 3 THEN 'Enterprise crm for retail fashion travel' WHEN 4 THEN 'Plain role'
       WHEN 5 THEN 'At least 6 years of experience, saas' ELSE 'Needs 8-12 years, consumer brand awareness' END AS description,
   l.l_shipdate AS posted_ts, l.l_extendedprice AS price, l.l_partkey, l.l_suppkey, l.l_orderkey, l.l_linenumber
 FROM {lineitem} l JOIN {part} p ON l.l_partkey=p.p_partkey JOIN {supplier} s ON l.l_suppkey=s.s_suppkey
@@ -98,7 +98,7 @@ SELECT page_id, url, html || '<h2>Role ' || CAST(page_id AS STRING) || '</h2><h3
  '<table><thead><tr><th>Role</th><th scope="col">Place</th></tr></thead><tr><td>Analyst ' || CAST(page_id AS STRING) || '</td><td> Pune </td></tr><tr></tr><tr class="r"><td><b>Lead</b></td><td></td></tr></table>' ||
  '<dl><dt>Email us</dt><dd>a' || CAST(page_id AS STRING) || '@x.example</dd><dt class="k">Phone number</dt> <dd><b>12</b> 3</dd>' || CASE page_id % 4 WHEN 0 THEN '<dt>Birthday</dt><dd>May 1</dd>' ELSE '' END || '</dl>' ||
  CASE page_id % 3 WHEN 0 THEN '<ul><li>Person</li><li>We are hiring</li></ul>' WHEN 1 THEN '<ul><li>#opentowork</li></ul>' ELSE '' END ||
- '<a class="c" href="/job/' || CAST(page_id AS STRING) || '?src=x">Job title ' || CAST(page_id AS STRING) || '</a><p>Pune</p><p>5-8 Yrs</p><a href=''/job/' || CAST(page_id AS STRING) || ''' id="d">Job again</a> tail' AS html
+ '<a class="c" href="/job/' || CAST(page_id AS STRING) || '?src=x"><b>Job title</b> ' || CAST(page_id AS STRING) || '</a><p>Pune</p><p>5-8 Yrs</p><a href=''/job/' || CAST(page_id AS STRING) || ''' id="d">Job again</a> tail' AS html
 FROM {pages}
 """,
     "K": """

@@ -234,9 +234,9 @@ def o04_limit_report(spark, sf):
     return limit_report(FL.where_contains(P(spark, sf), "title", "head"), 50)
 
 
-QT = dict(platform="a", role="head", location="asia", salary="10L+", work_type="onsite")
+QT = dict(platform="a", role="head", location="nation", salary="10L+", work_type="onsite")
 _qt_where = f"""contains(lower(coalesce(platform, '')), 'a') AND contains(lower(coalesce(title, '')), 'head')
-  AND contains(lower(coalesce(location, '')), 'asia') AND v IS NOT NULL AND u = 'INR_LAC' AND v >= 10
+  AND contains(lower(coalesce(location, '')), 'nation') AND v IS NOT NULL AND u = 'INR_LAC' AND v >= 10
   AND {_wt} = 'onsite'"""
 
 

@@ -9,14 +9,16 @@ from lodestar.functions import classify as L
 from lodestar.functions import phrases as A
 from lodestar.functions import text as N
 from lodestar.functions.years import exp_years
+from lodestar.operators.enrich import enrich
 from lodestar.operators.joins import enrich_distinct, pick_preferred
 from lodestar.operators.sets import seen_keys, union_sources
 from lodestar.functions import years as Y
 from lodestar.plans import sqlx as S
+from lodestar.plans.catalog import sql_enriched
 from lodestar.plans.fixtures import duck_with, table, view
 from lodestar.plans.registry import C, E, P, register
 from lodestar.profiles.jobs import (ACTION_VERBS, AGENCY_SIGNALS, COMPANY_SUFFIXES, CONSULTANT_TYPES,
-                                    ROLE_CATEGORIES, STOP_WORDS)
+                                    JOBS, ROLE_CATEGORIES, STOP_WORDS)
 
 
 def _clean_sql(x: str) -> str:
@@ -121,17 +123,39 @@ def a01_key_phrases(spark, sf):
     return P(spark, sf).select("item_url", F.array_join(A.key_phrases("description"), " | ").alias("phrases"))
 
 
-@register("a02_role_summary", f"""{duck_with('P')}
-SELECT item_url, concat_ws(' | ',
-  coalesce(title, '') || CASE WHEN {S.missing('company')} THEN '' ELSE ' at ' || company END
+_SUMMARY = f"""concat_ws(' | ', coalesce(title, '') || CASE WHEN {S.missing('company')} THEN '' ELSE ' at ' || company END
     || CASE WHEN {S.missing('location')} THEN '' ELSE ' (' || location || ')' END,
   CASE WHEN NOT {S.missing('salary')} THEN 'Comp: ' || {S.trim_ws('salary')} END,
-  CASE WHEN NOT {S.missing('description')} THEN nullif({_phrases_sql('description')}, '') END) AS role_summary FROM P""")
+  CASE WHEN NOT {S.missing('description')} THEN nullif({_phrases_sql('description')}, '') END)"""
+
+
+@register("a02_role_summary", f"""{duck_with('P')}
+SELECT item_url, {_SUMMARY} AS role_summary FROM P""")
 def a02_role_summary(spark, sf):
     return P(spark, sf).select("item_url", A.role_summary("title", "company", "location", "salary",
                                                           "description").alias("role_summary"))
 
 
+_ENRICHED = ("company_type", "role_type", "experience_required", "min_experience_years", "max_experience_years", "salary_min_lpa",
+             "salary_max_lpa", "salary_normalized", "relevance_score", "role_summary", "shortlist")
+
+
+@register("p04_enrich", f"""{duck_with('P')},
+D2 AS (SELECT *, CAST(posted_ts AS DATE) AS date_posted FROM P),
+{sql_enriched('D2', 'EN')},
+SEEN AS (SELECT DISTINCT item_url AS seen_url FROM P WHERE posted_ts < TIMESTAMP '1994-01-01 00:00:00')
+SELECT item_url, {', '.join(_ENRICHED[:-2])}, {_SUMMARY} AS role_summary,
+  CASE WHEN (min_experience_years IS NULL OR min_experience_years <= 10)
+   AND ({S.salary_max('salary')} IS NULL OR {S.salary_max('salary')} > 27)
+   AND contains(lower(coalesce(title, '')), 'growth') AND seen_url IS NULL THEN 'Yes' ELSE 'No' END AS shortlist
+FROM EN LEFT JOIN SEEN ON item_url = seen_url""")
+def p04_enrich(spark, sf):
+    p = P(spark, sf)
+    seen = p.where(F.col("posted_ts") < F.lit("1994-01-01 00:00:00").cast("timestamp_ntz")).select("item_url")
+    e = enrich(p.withColumn("date_posted", F.to_date("posted_ts")), JOBS, seen=seen, url_col="item_url", shortlist_term="growth")
+    return e.select("item_url", *_ENRICHED)
+
+
 def _ranked_sql(t: str, lexicon) -> str:
     items = ", ".join(f"struct_pack(neg := -{S.count_of(t, terms)}, rnk := {i}, label := {S.lit(lbl)})"
                       for i, (lbl, terms) in enumerate(lexicon))
@@ -193,9 +217,8 @@ def u01_union_sources(spark, sf):
 
 
 @register("u04_seen_keys", f"""{duck_with('E')}
-SELECT DISTINCT k FROM E WHERE run_date <= DATE '2024-01-14' AND k IS NOT NULL""")
+SELECT DISTINCT k FROM E WHERE k IS NOT NULL""")
 def u04_seen_keys(spark, sf):
     e = E(spark, sf)
-    snaps = [e.where(F.col("run_date") == d) for d in ("2024-01-12", "2024-01-13", "2024-01-14")]
-    older = e.where(F.col("run_date") < "2024-01-12")
-    return seen_keys(None, [older, *snaps], "k")
+    day = F.col("run_date")
+    return seen_keys(None, [e.where(day < "2024-01-10"), e.where(day.between("2024-01-10", "2024-01-19")), e.where(day > "2024-01-19")], "k")

@@ -38,11 +38,11 @@ def list_snapshots(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, path_glob: str, schema: StructType | str) -> DataFrame:
-    """Rows of the most recently modified file matching the glob (by file metadata)."""
-    df = spark.read.schema(schema).parquet(path_glob).withColumn("__file", F.col("_metadata.file_path")) \
-        .withColumn("__mtime", F.col("_metadata.file_modification_time"))
-    newest = df.groupBy().agg(F.max_by("__file", F.struct("__mtime", "__file")).alias("__latest"))
-    return df.join(F.broadcast(newest), F.col("__file") == F.col("__latest")).drop("__file", "__mtime", "__latest")
+    """Rows of the most recently modified file matching the glob. The listing names it; only it is read."""
+    newest = list_snapshots(spark, path_glob).select("path").first()
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(newest["path"])
 
 
 def new_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -70,8 +70,8 @@ def write_master(df: DataFrame, base: str, version: int) -> str:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file for a (small, filtered) result — only this export edge coalesces."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file for a (small, filtered) result; only the writing is a single task."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -104,3 +104,58 @@ def test_work_type_and_region(spark):
     lenient = [r[0] for r in locs.select(L.keep_region("loc", ["salem"], ["oregon", "paris"])).collect()]
     strict = [r[0] for r in locs.select(L.keep_region("loc", ["salem"], ["oregon", "paris"], True)).collect()]
     assert lenient == [True, True, False] and strict == [False, True, False]
+
+
+def test_nbsp_is_a_space(spark):
+    nb = "\u00a0"
+    assert [g["display"] for g in run(spark, [f"₹15{nb}-{nb}20{nb}LPA", f"{nb}15{nb}L", f"80000{nb}/{nb}month", nb], M.normalise_salary)] == ["15-20 LPA", "15 LPA", "9.6 LPA", ""]
+    assert [(g["value"], g["unit"]) for g in run(spark, [f"30-50{nb}Lacs", f"2{nb}Cr"], M.salary_value)] == [(50.0, "INR_LAC"), (200.0, "INR_LAC")]
+    assert run(spark, [f"25{nb}-{nb}35 LPA"], M.salary_max) == [35.0]
+    assert [(r["lo"], r["hi"]) for r in run(spark, [f"10{nb}-{nb}15{nb}years", f"5{nb}to{nb}10 years", f"8{nb}yrs"], Y.experience_range)] == [(10, 15), (5, 10), (8, 8)]
+    assert [(r["lo"], r["hi"]) for r in run(spark, [f"needs 3{nb}-{nb}5{nb}years", f"7+{nb}yrs"], Y.experience_from_description)] == [(3, 5), (7, None)]
+    df = spark.createDataFrame([("", "x", f"at{nb}least 10{nb}years")], "e string, t string, d string")
+    assert [r[0] for r in df.select(Y.extract_experience("e", "t", "d")).collect()] == ["10 years"]
+    assert run(spark, [f"a{nb}b", None], N.clean_text) == ["a b", ""]
+
+
+def test_experience_from_description(spark):
+    cases = {"8-12 years": (8, 12), "12-8 yrs": (8, 12), "5+ years": (5, None), "6 years": (6, 6), "40-50 years or 4 years": (None, None), "100 years": (None, None), "no number": (None, None), "": (None, None)}
+    got = run(spark, list(cases), Y.experience_from_description)
+    for (raw, want), g in zip(cases.items(), got):
+        if raw.startswith("40-50"):  # the range is over the cap: the first single value decides, which is over it too
+            want = (None, None)
+        assert (g["lo"], g["hi"]) == want, raw
+
+
+def test_rounding_is_half_up(spark):
+    assert run(spark, ["1,25,000"], M.normalise_salary)[0]["display"] == "1.3 LPA"
+
+
+def test_terms_are_literal(spark):
+    terms = ["a.b", "\\E", "(x", "ü", "c++"]
+    texts = ["a.b", "aXb", "q\\Eq", "(x", "über", "c++", "c+", "", None]
+    got = run(spark, texts, lambda c: N.contains_any(c, terms))
+    assert got == [True, False, True, True, True, True, False, False, None]
+    many = [f"t{i:03d}" for i in range(500)]
+    assert run(spark, ["xt499x", "t5"], lambda c: N.contains_any(c, many)) == [True, False]
+    assert run(spark, ["x"], lambda c: N.contains_any(c, [])) == [False]
+
+
+def test_author_snippet_remainder(spark):
+    from lodestar.operators.extract import clean_author, remainder, snippet
+    df = spark.createDataFrame([("View Ann Lee’s profile", "x"), ("View Bo  profile", "x"), (None, "Cy Dee Verified • 2nd"), ("", "Eve, Hiring now"), ("Follow", None), ("Follow", " 3rd+ ")], "l string, t string")
+    assert [r[0] for r in df.select(clean_author("l", "t")).collect()] == ["Ann Lee", "Bo", "Cy Dee", "Eve", "", ""]
+    df = spark.createDataFrame([(["short", "T" * 50, "y" * 400], "T" * 50), ([], "t"), (None, "t")], "p array<string>, t string")
+    assert [r[0] for r in df.select(snippet("p", "t")).collect()] == ["y" * 300, "", ""]
+    df = spark.createDataFrame([("Role at Acme", "Role"), ("Role", ""), (None, None), ("  x  ", None)], "a string, b string")
+    assert [r[0] for r in df.select(remainder("a", "b")).collect()] == ["at Acme", "Role", "", "x"]
+
+
+def test_fixed_lists_by_hand():
+    from lodestar.profiles import jobs
+    assert jobs.USD_TO_INR == 85 and jobs.SALARY_MAX_LPA == 500 and jobs.YEARS_CAP == 35
+    assert (jobs.SHORTLIST_MAX_MIN_YEARS, jobs.SHORTLIST_MIN_SALARY, jobs.SHORTLIST_TITLE_TERM) == (10, 27, "marketing")
+    assert JOBS.b2b[:3] == ("b2b", "saas", "enterprise") and JOBS.d2c[:2] == ("d2c", "dtc") and "retail" in JOBS.b2c
+    assert JOBS.w_title == (30, 20, 10, 0) and JOBS.w_foreign == -40 and JOBS.salary_cuts == (40, 27, 15)
+    assert JOBS.title_strong[0] == "cmo" and JOBS.tier1[:3] == ("mumbai", "delhi", "bangalore")
+    assert jobs.DOMAIN_TLDS == [".com", ".in", ".co.in", ".io"]

@@ -56,3 +56,76 @@ def test_contains_all_join_matches_nested_loop(spark):
     want = {(i, j) for i, d1, ts in needles for j, d2, t in hays
             if d1 == d2 and any(ts) and all(s in t for s in ts if s)}
     assert got == want
+
+
+def test_merge_richest_dedups_also_against_nothing(spark):
+    from lodestar.operators.dedup import merge_richest
+    a = spark.createDataFrame([("k", "", 1), ("k", "full", 2), ("m", "", 3)], "key string, v string, seq int")
+    for left, right in ((a, a.where("false")), (a.where("false"), a)):
+        assert sorted((r.key, r.seq) for r in merge_richest(left, right, "key", ["seq"]).collect()) == [("k", 2), ("m", 3)]
+
+
+def test_prefer_keeps_rows_without_a_group(spark):
+    from lodestar.operators.joins import prefer
+    df = spark.createDataFrame([(None, 1, False), (None, 2, False), ("a", 3, True), ("a", 4, False), ("b", 5, None)], "g string, seq int, hit boolean")
+    assert sorted(r.seq for r in prefer(df, ["g"], F.col("hit")).collect()) == [1, 2, 3, 5]
+
+
+def test_enrich_never_shortlists_what_was_seen(spark):
+    from lodestar.operators.enrich import display, enrich, ensure_columns, stamp, tag
+    df = spark.createDataFrame([("u1", "Marketing Head", "30-40 LPA"), ("u2", "Marketing Head", "30-40 LPA"), (None, "Marketing Head", None)], "job_url string, title string, salary string").withColumn("location", F.lit("Pune"))
+    seen = spark.createDataFrame([("u1",), (None,)], "job_url string")
+    assert {r.job_url: r.shortlist for r in enrich(df, seen=seen).collect()} == {"u1": "No", "u2": "Yes", None: "Yes"}
+    assert {r.shortlist for r in enrich(df).collect()} == {"Yes"}
+    made = tag(stamp(ensure_columns(df, {"at": None, "title": "x"}).withColumn("at", F.lit(" ")), "at", "now"), platform="p")
+    assert {(r.at, r.platform, r.title) for r in made.collect()} == {("now", "p", "Marketing Head")}
+    assert {r.title for r in display(df, {"title": 5}).collect()} == {"Mark…"}
+
+
+def test_sort_is_numeric_on_request(spark):
+    from lodestar.operators.query import sort_by
+    df = spark.createDataFrame([("9 LPA",), ("100 LPA",), (None,), ("25-30 LPA",)], "salary string")
+    assert [r.salary for r in sort_by(df, "salary", True, numeric=True).collect()] == ["100 LPA", "25-30 LPA", "9 LPA", None]
+    assert [r.salary for r in sort_by(df, "salary", True).collect()] == ["9 LPA", "25-30 LPA", "100 LPA", None]
+    assert [r.salary for r in sort_by(df, "nothing").collect()] == [r.salary for r in df.collect()]
+
+
+def test_company_match_is_the_nested_loop(spark):
+    import random
+    from lodestar.operators.match import company_match
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 7)))
+    jobs, recs = [name() for _ in range(80)] + ["a", ""], [(name(), i % 3, i) for i in range(60)] + [("a", 2, 99), ("b", 0, 98)]
+    got = {r["__jk"]: r["__rk"] for r in company_match(
+        spark.createDataFrame([(j,) for j in jobs], "company string"), spark.createDataFrame(recs, "company string, recruiter_rank int, seq int")).collect()}
+    first = {}
+    for c, rank, seq in recs:
+        k = c.strip().lower()
+        if k:
+            first[k] = min(first.get(k, (9, 999)), (rank, seq))
+    want = {}
+    for j in {x.strip().lower() for x in jobs} - {""}:
+        near = [j] if j in first else [k for k in first if j in k or k in j]
+        if near:
+            want[j] = min(near, key=lambda k: first[k])
+    assert got == want
+
+
+def test_match_pairs_stay_linear_with_short_and_hot_names(spark):
+    from lodestar.operators.joins import match_candidate
+    from lodestar.operators.match import first_containing
+    hays = spark.createDataFrame([(f"company a{i}", i) for i in range(400)], "t string, o long")
+    needles = spark.createDataFrame([("a",), ("co",), ("company",)], "t string")
+    assert {tuple(r) for r in first_containing(needles, hays, "t", "o", "first").collect()} == {(n, "company a0", 0) for n in ("a", "co", "company")}
+    people = spark.createDataFrame([(i, "d", f"john x{i}") for i in range(300)], "person_id long, domain string, name string")
+    cands = spark.createDataFrame([("d", i, "John", "", f"v{i}") for i in range(300)], "domain string, pos long, first_name string, last_name string, value string") \
+        .withColumn("position", F.lit("")).withColumn("department", F.lit(""))
+    out = match_candidate(people, cands, "domain", "name")
+    assert {r.matched_value for r in out.collect()} == {"v0"}
+
+
+def test_page_operators_scan_once_without_a_shuffle(spark):
+    from lodestar.plans.catalog import QUERIES
+    for name in ("x05_extract_links", "x06_extract_headings", "x07_table_rows", "x08_first_strategy", "x14_label_pairs"):
+        plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan, name

@@ -59,20 +59,15 @@ def template_terms(templates) -> list[tuple[str, int, dict[str, int]]]:
     return out
 
 
-def telling_terms(vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """The rarest terms without which no line reaches the threshold with any template.
+def telling_terms(vectors: list[dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
+    """The corpus's rarest terms without which no line reaches the threshold with any template.
 
     By Cauchy-Schwarz a line that shares only the terms R with a template has a cosine of at most the share of R in
     the template's length; terms are taken as telling until that is below the threshold for every template.
     """
-    weight: dict[str, float] = {}
-    for v in vectors:
-        for t, w in v.items():
-            weight[t] = max(weight.get(t, 0.0), w)
-    rest = set(weight)
-    order = sorted(weight, key=lambda t: (-weight[t], t))
+    rest = {t for v in vectors for t in v}
     chosen = []
-    for t in order:
+    for t in sorted(rest, key=lambda t: (-idf[t], t)):
         worst = max(math.sqrt(sum(w * w for x, w in v.items() if x in rest) / sum(w * w for w in v.values())) for v in vectors)
         if worst < threshold:
             break
@@ -101,7 +96,7 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
     unseen = math.log(1 + n) + 1  # of terms of no template
     vectors = [{t: c * idf[t] for t, c in counts.items()} for _, _, counts in parsed]
-    telling = telling_terms(vectors, threshold)
+    telling = telling_terms(vectors, idf, threshold)
     weights = [(t, number, name, w / math.sqrt(sum(x * x for x in v.values()))) for (name, number, _), v in zip(parsed, vectors, strict=True) for t, w in v.items()]
     weights = spark.createDataFrame(weights, "term string, template int, license string, weight double")
     idf_rows = spark.createDataFrame(list(idf.items()), "term string, idf double")

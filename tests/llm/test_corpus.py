@@ -130,7 +130,7 @@ def test_licences_of_a_tree(spark):
 def test_untelling_terms_cannot_reach_the_threshold():
     g = random.Random(1)
     vectors = [{f"t{g.randrange(30)}": g.random() + 0.1 for _ in range(8)} for _ in range(12)]
-    chosen = set(telling_terms(vectors, 0.6))
+    chosen = set(telling_terms(vectors, {f"t{i}": 1 / (1 + i) for i in range(30)}, 0.6))
     for v in vectors:
         rest = np.array([w for t, w in v.items() if t not in chosen])
         assert np.sqrt((rest ** 2).sum() / sum(w * w for w in v.values())) < 0.6

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+# What ``\s`` matches on the JVM.
+WHITE = " \t\n\x0b\f\r"
 # Words that mean "no value" when a table was round-tripped through text.
 MISSING_WORDS = ("", "nan", "none")
 
@@ -18,8 +20,13 @@ def col(c: ColumnOrName) -> Column:
 
 
 def trim_ws(c: ColumnOrName) -> Column:
-    """Strip all leading/trailing whitespace (``trim`` only strips spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Strip all leading/trailing whitespace (``trim`` only strips spaces), from the ends inwards."""
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def collapse_ws(c: ColumnOrName) -> Column:
+    """Runs of whitespace → one space; only runs that are not one space already are touched."""
+    return F.regexp_replace(col(c), r"(?:[\t\n\x0B\f\r]| (?=\s))\s*", " ")
 
 
 def plain_spaces(c: ColumnOrName) -> Column:
@@ -35,7 +42,9 @@ def clean_text(c: ColumnOrName) -> Column:
 def is_missing(c: ColumnOrName) -> Column:
     """NULL, blank, or the text 'nan' / 'none'."""
     x = col(c)
-    return x.isNull() | F.lower(trim_ws(x)).isin(*MISSING_WORDS)
+    t = trim_ws(x)
+    # long texts are told by their length alone
+    return x.isNull() | ((F.length(t) <= max(map(len, MISSING_WORDS))) & F.lower(t).isin(*MISSING_WORDS))
 
 
 def blank_null(c: ColumnOrName) -> Column:
@@ -111,7 +120,7 @@ def combine_text(*cols: ColumnOrName) -> Column:
 def strip_html(c: ColumnOrName) -> Column:
     """Tags → space, collapse whitespace, trim."""
     s = F.regexp_replace(col(c), r"<[^>]+>", " ")
-    return trim_ws(F.regexp_replace(s, r"\s+", " "))
+    return trim_ws(collapse_ws(s))
 
 
 def strip_suffix(title: ColumnOrName, suffix: ColumnOrName) -> Column:
@@ -119,7 +128,7 @@ def strip_suffix(title: ColumnOrName, suffix: ColumnOrName) -> Column:
     t, s = col(title), col(suffix)
     cut = F.when((F.length(s) > 0) & t.endswith(s),
                  t.substr(F.lit(1), F.length(t) - F.length(s))).otherwise(t)
-    return trim_ws(F.regexp_replace(cut, r"\s+", " "))
+    return trim_ws(collapse_ws(cut))
 
 
 def distinct_join(c: ColumnOrName, pattern: str, sep: str = ", ") -> Column:

@@ -21,7 +21,7 @@ from .shared import cut
 #: Words of a block.
 BLOCK_WORDS = 512
 #: Hash ranges that a source's stream is split into.
-RANGES = 256
+RANGES = 2048
 #: Fractional part of the golden ratio, in units of 2^-32: points are exact integers below 2^32.
 GOLDEN = 2654435769
 #: Sources of a mix; their cumulative shares are held by every task.

@@ -80,23 +80,23 @@ def classify_multi(text: ColumnOrName, lexicon: Lexicon, k: int = 2, ratio: floa
                    default: str = "General", sep: str = ", ") -> Column:
     """Up to ``k`` labels whose score ≥ ratio × top score, ties in lexicon order."""
     raw = col(text)
-    ranked = _ranked_labels(F.lower(raw), lexicon)
-    top = -F.try_element_at(ranked, F.lit(1))["neg"]
-    keep = F.filter(ranked, lambda s: -s["neg"] >= top * ratio)
-    labels = F.transform(F.slice(keep, 1, k), lambda s: s["label"])
-    return (F.when(F.coalesce(raw, F.lit("")) == "", F.lit(default))
-            .when(F.size(ranked) == 0, F.lit(default))
-            .otherwise(F.array_join(labels, sep)))
+
+    def chosen(ranked: Column) -> Column:
+        top = -F.try_element_at(ranked, F.lit(1))["neg"]
+        keep = F.filter(ranked, lambda s: -s["neg"] >= top * ratio)
+        labels = F.transform(F.slice(keep, 1, k), lambda s: s["label"])
+        return F.when(F.size(ranked) == 0, F.lit(default)).otherwise(F.array_join(labels, sep))
+
+    by_terms = let(F.lower(raw), lambda t: let(_ranked_labels(t, lexicon), chosen))
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(default)).otherwise(by_terms)
 
 
 def classify_best(text: ColumnOrName, lexicon: Lexicon, default: str = "Agency Recruiter",
                   empty_label: str = "Unknown") -> Column:
     """The single best label; no hit → ``default``; empty text → ``empty_label``."""
     raw = col(text)
-    ranked = _ranked_labels(F.lower(raw), lexicon)
-    return (F.when(F.coalesce(raw, F.lit("")) == "", F.lit(empty_label))
-            .when(F.size(ranked) == 0, F.lit(default))
-            .otherwise(F.try_element_at(ranked, F.lit(1))["label"]))
+    best = let(F.lower(raw), lambda t: F.coalesce(F.try_element_at(_ranked_labels(t, lexicon), F.lit(1))["label"], F.lit(default)))
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(empty_label)).otherwise(best)
 
 
 def has_signal(cols: Iterable[ColumnOrName], terms: Sequence[str]) -> Column:

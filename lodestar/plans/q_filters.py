@@ -9,7 +9,7 @@ from lodestar.functions.years import experience_range
 from lodestar.operators import filters as FL
 from lodestar.operators.aggregate import result_summary
 from lodestar.operators.enrich import mark_shortlist, shortlist_flag
-from lodestar.operators.query import ListingQuery, limit_report, page, sort_by, with_work_type
+from lodestar.operators.query import ListingQuery, limit_report, page, page_after, sort_by, with_work_type
 from lodestar.functions.classify import classify_mixed
 from lodestar.functions.text import combine_text
 from lodestar.operators.enrich import lexicon
@@ -226,6 +226,12 @@ def o02_page(spark, sf):
     return page(P(spark, sf), 3, 15, [F.col("title"), F.col("item_url")]).select("item_url", "title")
 
 
+@register("o02_page_after", f"""{duck_with('P')}
+SELECT item_url, title FROM P WHERE title > 'Growth' OR (title = 'Growth' AND item_url > '') ORDER BY title, item_url LIMIT 15""")
+def o02_page_after(spark, sf):
+    return page_after(P(spark, sf), ["title", "item_url"], ["Growth", ""], 15).select("item_url", "title")
+
+
 @register("o04_limit_report", f"""{duck_with('P')},
 X AS (SELECT * FROM P WHERE contains(lower(coalesce(title, '')), 'head'))
 SELECT count(*) AS total, CAST(least(count(*), 50) AS BIGINT) AS shown,

@@ -129,3 +129,12 @@ def test_page_operators_scan_once_without_a_shuffle(spark):
     for name in ("x05_extract_links", "x06_extract_headings", "x07_table_rows", "x08_first_strategy", "x14_label_pairs"):
         plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and "Exchange" not in plan, name
+
+
+def test_page_after_is_the_next_page(spark):
+    from lodestar.operators.query import page_after
+    df = spark.createDataFrame([(i % 5, i) for i in range(40)], "a int, b int")
+    order = [F.col("a"), F.col("b")]
+    for n in (1, 2, 3):
+        last = tuple(page(df, n, 7, order).collect()[-1])
+        assert page_after(df, ["a", "b"], last, 7).collect() == page(df, n + 1, 7, order).collect()

@@ -26,8 +26,6 @@ RANGES = 2048
 GOLDEN = 2654435769
 #: Sources of a mix; their cumulative shares are held by every task.
 MOST_SOURCES = 10_000
-#: Slots that one row of the schedule's seed expands to.
-SLOTS_A_ROW = 4096
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -85,8 +83,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     for r in shares:  # a source's points are those from the end before it to its own, of 2^32
         up_to += r["need"]
         ends.append((up_to << 32) // total)
-    first = F.expr(f"id * {SLOTS_A_ROW}L")
-    seeds = spark.range(-(-total // SLOTS_A_ROW)).select(F.explode(F.sequence(first, F.least(first + (SLOTS_A_ROW - 1), F.lit(total - 1)))).alias("slot"))
+    seeds = spark.range(total).withColumnRenamed("id", "slot")  # Spark knows its size, so joins of it are planned for that
     # slot * GOLDEN mod 2^32, slot taken mod 2^32 first so that nothing overflows past 64 bits
     point = ((F.col("slot") % (1 << 32)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1))
     before = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("point")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import cut, map_batches, prefix_directory, texts_of, with_bucket
 
 #: Distinct hashes of a bucket before it splits.
-CAPACITY = 8192
+CAPACITY = 2048
 
 _RECORD = "doc_id long, h long, rep long, lead boolean, n long, top long, text_sha256 string, body binary"
 _OWNED = "rep long, lead_rep long, keep_id long, group_size long, chain int"

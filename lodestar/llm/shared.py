@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to Python: texts are long, so far less than Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: About as many buckets a directory has at most: it is held by the driver and every task.
+MOST_BUCKETS = 1 << 15
 #: Texts of one numpy block, in bytes; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -56,6 +58,20 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def bounded_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most ``limit`` rows: those of the smallest hashes of their keys, whatever the partitioning.
+
+    The table is thinned by hash first, to half as many rows again as wanted, so that the tasks' parts of a large
+    table's sample do not meet in one place at ``limit`` rows each.
+    """
+    spread = 1 << 40
+    place = F.pmod(F.xxhash64(*keys), F.lit(spread))
+    n = rows.count()
+    if n > 2 * limit:
+        rows = rows.where(place < int(spread * 1.5 * limit / n))
+    return rows.orderBy(place, *keys).limit(limit)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The text column, null as empty."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -149,15 +165,17 @@ def top_bits(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits)
 
 
-def prefix_directory(keys: DataFrame, key: str, capacity: int, first_bits: int = 10, step: int = 4, most_bits: int = 60):
+def prefix_directory(keys: DataFrame, key: str, capacity: int, first_bits: int = 10, step: int = 4, most_bits: int = 60, most: int = MOST_BUCKETS):
     """Extendible directory over the distinct 64-bit ``key`` values: (global depth, first keys of the buckets).
 
     Buckets start as one; each one that holds over ``capacity`` keys splits by its next bit, and the
     directory doubles when a bucket's depth passes the global one. What the driver sees are counts by
-    prefix, at most 2^first_bits of them or 2^step for each overfull prefix: some keys / capacity. Of the
+    prefix, at most 2^first_bits of them or 2^step for each overfull prefix: some keys / capacity, and the
+    capacity grows with the keys once there would be over ``most`` buckets. Of the
     2^depth slots it keeps the runs that share a bucket, so a deep directory of clustered keys stays small.
     Bucket numbers follow key order.
     """
+    capacity = max(capacity, -(-keys.count() // most))
     leaves: list[tuple[int, int]] = []  # (prefix, depth), in any order
     bits, open_prefixes, part = first_bits, None, keys
     while True:

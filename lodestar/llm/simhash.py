@@ -26,16 +26,15 @@ BLOCK = 16384
 #: Fingerprints of a leaf, children of an upper node.
 LEAF, FANOUT = 32, 8
 SEED = 42
+#: Shingles of a text that are hashed at once.
+AT_ONCE = 1 << 16
 
 
-def bit_majority(h: np.ndarray) -> int:
-    """The bits set in over half of the hashes. Bit counts are added eight at a time, as bytes of a word."""
-    if not len(h):
-        return 0
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits. Counts are added eight at a time, as bytes of a word."""
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
     sums = np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).view(np.uint8)
-    count = sums.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return sums.sum(axis=0, dtype=np.int64)
 
 
 def _fingerprints(id_col: str, text_col: str, shingle: int, carry: tuple[str, ...]):
@@ -63,9 +62,13 @@ def _fingerprints(id_col: str, text_col: str, shingle: int, carry: tuple[str, ..
                     if a == b:
                         continue
                     w = min(shingle, b - a)
-                    p, q = starts[a:b - w + 1].tolist(), ends[a + w - 1:b].tolist()
-                    h = np.fromiter((digest(data[x:y], SEED) for x, y in zip(p, q, strict=True)), np.uint64, len(p))
-                    fps[i + k] = bit_majority(h)
+                    n = b - a - w + 1
+                    count = np.zeros(64, np.int64)
+                    for c in range(a, a + n, AT_ONCE):
+                        d = min(c + AT_ONCE, a + n)
+                        p, q = starts[c:d].tolist(), ends[c + w - 1:d + w - 1].tolist()
+                        count += bit_counts(np.fromiter((digest(data[x:y], SEED) for x, y in zip(p, q, strict=True)), np.uint64, d - c))
+                    fps[i + k] = np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0]
             ids, *rest = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, *carry))
             yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *rest], schema=schema)
 

@@ -148,20 +148,27 @@ def search(index: DataFrame, test: DataFrame, id_col: str = "item_id", text_col:
     more is a pass of its own), each a scan of the index.
     """
     test = test.select(F.col(id_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    passes, held, room = [], [], PASS_WORDS
-    for r in test.toLocalIterator():
-        n = len(r["t"]) // 2 + 1
-        if held and n > room:
-            passes.append(held)
-            held, room = [], PASS_WORDS
-        held.append((r["item"], r["t"]))
-        room -= n
-    passes.append(held)
-    out = None
-    for items in passes:
-        part = map_batches(index, _matches(*_windows([x for x in items if x[0] is not None], window), slop), _FOUND)
-        out = part if out is None else out.unionByName(part)
-    if len(passes) == 1:
+    test = test.where("item IS NOT NULL")
+
+    def passes():
+        held, room = [], PASS_WORDS
+        for r in test.toLocalIterator():
+            n = len(r["t"]) // 2 + 1
+            if held and n > room:
+                yield held
+                held, room = [], PASS_WORDS
+            held.append((r["item"], r["t"]))
+            room -= n
+        yield held
+
+    out, many = None, 0
+    for many, items in enumerate(passes(), 1):
+        part = map_batches(index, _matches(*_windows(items, window), slop), _FOUND)
+        if many == 1:
+            out = part
+        else:  # each pass is written, so that its phrases can go
+            out = (cut(out) if many == 2 else out).unionByName(cut(part))
+    if many == 1:
         return out
     # the passes' rows of a document meet again; one pass needs no shuffle
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts")]

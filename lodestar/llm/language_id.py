@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .shared import LOWER, blocks, byte_set, map_batches, texts_of
+from .shared import LOWER, blocks, bounded_sample, byte_set, map_batches, texts_of
 
 WINDOW = 128
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
@@ -127,11 +127,11 @@ def _train_windows(text_col: str):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
-    """Learn from at most ``TRAIN_DOCS`` documents with a language and a letter, outside the held-out third."""
+    """Learn from at most ``TRAIN_DOCS`` documents with a language, those with a letter, outside the held-out third."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    usable = (F.col("id").isNotNull()) & F.col("lang").isNotNull() & ~held_out("id", 3, 1) & F.col("text").rlike(r"\p{L}")
-    ids = rows.where(usable).select("id", "lang").distinct().orderBy(F.xxhash64("id"), "id", "lang").limit(TRAIN_DOCS)
-    rows = rows.where(usable).join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text")  # bounded by the limit
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", 3, 1))
+    ids = bounded_sample(rows.select("id", "lang").distinct(), TRAIN_DOCS, "id", "lang")
+    rows = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")  # bounded by the sample
     got = map_batches(rows, _train_windows("text"), "lang string, windows binary").toPandas()
     got = got.sort_values(["lang", "windows"], kind="stable")
     names = sorted(got["lang"].unique())

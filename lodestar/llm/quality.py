@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, blocks, map_batches, run_hashes, runs, texts_of
+from .shared import LOWER, NOT_SPACE, blocks, bounded_sample, map_batches, run_hashes, runs, texts_of
 
 #: Labelled rows that are learned from and vote: those of the smallest hashes of their ids.
 LABELLED = 4096
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label")).where("__id IS NOT NULL AND label IS NOT NULL")
     labels = labels.where(~held_out("__id", 4, 2)).groupBy("__id").agg(F.avg("label").alias("label"))
     ids = docs.select(F.col(id_col).alias("__doc")).where("__doc IS NOT NULL").distinct()
-    sample = labels.join(ids, F.col("__id") == F.col("__doc"), "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(LABELLED)
+    sample = bounded_sample(labels.join(ids, F.col("__id") == F.col("__doc"), "left_semi"), LABELLED, "__id")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), F.col("__id") == F.col("__doc")).select("text", "label")  # bounded by the limit
     rows = map_batches(rows, _counted("text"), "label double, counts binary").toPandas()

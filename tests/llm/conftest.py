@@ -45,3 +45,13 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+
+
+@pytest.fixture(autouse=True, scope="package")
+def few_partitions(spark):
+    """The tables are tiny and the operators make many small jobs."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, old)

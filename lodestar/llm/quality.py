@@ -73,16 +73,49 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(total, 1)) * idf
 
 
+def leading(gram: np.ndarray, k: int, rounds: int = 16) -> np.ndarray:
+    """The ``k`` leading eigenvectors of a symmetric matrix, by subspace iteration: no more memory than itself."""
+    q = np.random.default_rng(0).normal(size=(len(gram), k + 16)).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(gram @ q)
+    _, turn = np.linalg.eigh(q.T @ gram @ q)
+    return np.ascontiguousarray((q @ turn)[:, ::-1][:, :k])
+
+
+class SparseCounts:
+    """Rows of term counts, held as their non-zero terms; a slice of them is a dense array."""
+
+    def __init__(self, terms: list[bytes], values: list[bytes]):
+        self.terms, self.values = terms, values
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        terms, values = self.terms[at], self.values[at]
+        out = np.zeros((len(terms), TERMS), np.float32)
+        for row, t, v in zip(out, terms, values, strict=True):
+            row[np.frombuffer(t, np.uint16)] = np.frombuffer(v, np.float32)
+        return out
+
+
 class QualityModel:
-    """idf, projection, the labelled rows' unit vectors and labels, and the mean label (for texts without terms)."""
+    """idf, projection, the labelled rows' unit vectors and labels, and the mean label (for texts without terms).
+
+    ``counts`` gives dense rows by slices; it is gone through a block at a time.
+    """
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray):
+    def __init__(self, counts, labels: np.ndarray):
         n = max(1, len(counts))
-        self.idf = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        x = weighted(counts, self.idf)
-        _, vectors = np.linalg.eigh(x.T @ x)
-        self.project = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
-        self.vectors = self.latent(counts)
+        parts = [slice(a, a + 256) for a in range(0, len(counts), 256)]
+        seen = sum(((counts[p] > 0).sum(0) for p in parts), np.zeros(TERMS, np.int64))
+        self.idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+        gram = np.zeros((TERMS, TERMS), np.float32)
+        for p in parts:
+            x = weighted(counts[p], self.idf)
+            gram += x.T @ x
+        self.project = leading(gram, DIMENSIONS)
+        self.vectors = np.concatenate([np.zeros((0, DIMENSIONS), np.float32), *(self.latent(counts[p]) for p in parts)])
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
@@ -108,14 +141,15 @@ class QualityModel:
 
 
 def _counted(text_col: str):
-    schema = pa.schema([("label", pa.float64()), ("counts", pa.binary())])
+    schema = pa.schema([("label", pa.float64()), ("terms", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for batch in batches:
             labels = batch.column(batch.schema.get_field_index("label"))
             for i, j, raw, offs in blocks(texts_of(batch, text_col)):
-                rows = [x.tobytes() for x in term_counts(raw, offs)]
-                yield pa.RecordBatch.from_arrays([labels.slice(i, j - i), pa.array(rows, pa.binary())], schema=schema)
+                rows = term_counts(raw, offs)
+                at = [np.flatnonzero(x).astype(np.uint16) for x in rows]
+                yield pa.RecordBatch.from_arrays([labels.slice(i, j - i), pa.array([t.tobytes() for t in at], pa.binary()), pa.array([x[t].tobytes() for x, t in zip(rows, at, strict=True)], pa.binary())], schema=schema)
 
     return run
 
@@ -150,10 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = bounded_sample(labels.join(ids, F.col("__id") == F.col("__doc"), "left_semi"), LABELLED, "__id")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), F.col("__id") == F.col("__doc")).select("text", "label")  # bounded by the limit
-    rows = map_batches(rows, _counted("text"), "label double, counts binary").toPandas()
-    counts = np.stack([np.frombuffer(x, np.float32) for x in rows["counts"]]) if len(rows) else np.zeros((0, TERMS), np.float32)
-    order = np.lexsort((*counts.T[:8], rows["label"].to_numpy())) if len(rows) else np.zeros(0, int)
-    return QualityModel(counts[order], rows["label"].to_numpy()[order])
+    rows = map_batches(rows, _counted("text"), "label double, terms binary, counts binary").toPandas()
+    rows = rows.sort_values(["label", "terms", "counts"], kind="stable")
+    return QualityModel(SparseCounts(list(rows["terms"]), list(rows["counts"])), rows["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -38,11 +38,20 @@ def list_snapshots(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, path_glob: str, schema: StructType | str) -> DataFrame:
-    """Rows of the most recently modified file matching the glob. The listing names it; only it is read."""
-    newest = list_snapshots(spark, path_glob).select("path").first()
+    """Rows of the newest snapshot among the files matching the glob. The listing names it; only it is read.
+
+    A snapshot is a ``run_ts=...`` directory, or else a directory of part files, with all its part files, or else a
+    bare file. The greatest run_ts is the newest; without any, the snapshot with the latest modification time.
+    """
+    run = F.regexp_extract("path", r"^(.*/run_ts=([^/]+))/", 1)
+    of_parts = F.regexp_extract("path", r"^(.*)/part-[^/]*$", 1)
+    snapshot = F.when(run != "", run).when(of_parts != "", of_parts).otherwise(F.col("path"))
+    run_ts = F.nullif(F.regexp_extract("snapshot", r"/run_ts=([^/]+)$", 1), F.lit(""))
+    newest = (list_snapshots(spark, path_glob).groupBy(snapshot.alias("snapshot")).agg(F.max("modificationTime").alias("at"))
+              .orderBy(run_ts.desc_nulls_last(), F.col("at").desc(), "snapshot").first())
     if newest is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(newest["path"])
+    return spark.read.schema(schema).parquet(newest["snapshot"])
 
 
 def new_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -36,6 +36,26 @@ def test_latest_snapshot_reads_one_file(spark, tmp_path):
     assert len(df.inputFiles()) == 1
 
 
+def test_latest_snapshot_reads_all_part_files(spark, tmp_path):
+    schema = "k long"
+    spark.range(3).selectExpr("id AS k").coalesce(1).write.parquet(str(tmp_path / "d" / "s0"))
+    time.sleep(1.1)
+    spark.range(10, 40, 1, 3).selectExpr("id AS k").write.parquet(str(tmp_path / "d" / "s1"))
+    df = latest_snapshot(spark, str(tmp_path / "d" / "*" / "*.parquet"), schema)
+    assert sorted(r.k for r in df.collect()) == list(range(10, 40)) and len(df.inputFiles()) == 3
+    base = str(tmp_path / "runs")
+    for run_ts, first in (("20260102_000000", 100), ("20260101_000000", 0)):  # the older run is written last
+        write_snapshot(spark.range(first, first + 30, 1, 3).selectExpr("id AS k"), base, run_ts)
+    for glob in ("*/*.parquet", "*"):
+        assert sorted(r.k for r in latest_snapshot(spark, f"{base}/{glob}", schema).collect()) == list(range(100, 130))
+    assert latest_snapshot(spark, f"{base}/run_ts=20260101_000000/*.parquet", schema).count() == 30
+    for i in range(2):  # bare files are snapshots of their own
+        (part,) = [f for f in os.listdir(tmp_path / "d" / "s0") if f.startswith("part-")]
+        (tmp_path / "bare").mkdir(exist_ok=True)
+        (tmp_path / "bare" / f"jobs_{i}.parquet").write_bytes((tmp_path / "d" / "s0" / part).read_bytes())
+    assert latest_snapshot(spark, str(tmp_path / "bare" / "*.parquet"), schema).count() == 3
+
+
 def test_master_versions_and_export(spark, tmp_path):
     df = spark.range(5).repartition(3)
     path = write_master(df, str(tmp_path / "m"), 7)

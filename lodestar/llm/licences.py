@@ -1,10 +1,12 @@
-"""Licence scans: sparse TF-IDF cosines of lines and whole files to templates, then directory inheritance.
-
-DataFrame operations only. Document frequencies of the templates' terms are counted over all files. A line (and a
-short file as a whole) is a sparse vector; its cosine to a template is a join on terms. Lines that hold no telling
-term cannot reach the threshold, since what their other terms can add up to stays below it for every template; so
-only files and lines with a telling term are taken apart. A directory whose files include a licence file passes its
-licence on: each file without one of its own joins its ancestor directories by path and takes the nearest.
+"""Licence scans: sparse TF-IDF cosines of lines, runs of terms and whole files to templates, then directory inheritance.
+
+DataFrame operations only. Document frequencies of the templates' terms are counted over all files. A line, a file
+as a whole, and a run of neighbouring terms as long as a template, whatever lines it crosses or lies in, are sparse
+vectors; their cosine to a template is a join on terms. What holds no telling term cannot reach the threshold, since
+what its other terms can add up to stays below it for every template; so only files and lines with a telling term are
+taken apart, and runs are those that line a telling term up with its places in the templates. A directory whose files
+include a licence file passes its licence on: each file without one of its own joins its ancestor directories by path
+and takes the nearest.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from .shared import cut
 
 #: Cosine from which a line is held to state a template's licence.
 THRESHOLD = 0.6
+#: Cosine from which a run of terms is: its bounds are chosen to fit a template, so two common words around a telling
+#: one ("the rights of") come near it by chance.
+RUN_THRESHOLD = 0.8
 #: A file is a licence file if it is named so or this share of its distinct lines state a licence.
 FILE_SHARE = 0.5
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)\b"
@@ -59,6 +64,25 @@ def template_terms(templates) -> list[tuple[str, int, dict[str, int]]]:
     return out
 
 
+def places(templates, telling: list[str]) -> list[tuple[str, int, int]]:
+    """(telling term, its place, number of terms) of each place of a telling term in a template."""
+    told = [[t.lower() for t in re.findall(TERM, text)] for _, text in templates]
+    return sorted({(t, i, len(row)) for row in told for i, t in enumerate(row) if t in telling})
+
+
+def runs(texts: DataFrame, templates, telling: list[str]) -> DataFrame:
+    """path, terms of the runs of ``texts`` (path, terms) that put a telling term where a template has it."""
+    aligned = places(templates, telling)
+    most = max(n for _, _, n in aligned)
+    marks = F.filter(F.transform("terms", lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda s: F.array_contains(F.lit(telling), s["term"]))
+    # each telling term with what can belong to a run through it
+    near = F.transform(marks, lambda s: F.struct(s["term"].alias("term"), F.least(s["at"], F.lit(most - 1)).alias("at"), F.slice("terms", F.greatest(F.lit(1), s["at"] - (most - 2)), 2 * most - 1).alias("near")))
+    spots = texts.select("path", F.explode(near).alias("s")).select("path", "s.*")
+    rows = spots.join(F.broadcast(texts.sparkSession.createDataFrame(aligned, "term string, place int, n int")), "term")  # bounded by the templates
+    first = F.col("at") - F.col("place")
+    return rows.select("path", F.slice("near", F.greatest(F.lit(1), first + 1), F.col("n") + F.least(F.lit(0), first)).alias("terms")).distinct()
+
+
 def telling_terms(vectors: list[dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
     """The corpus's rarest terms without which no line reaches the threshold with any template.
 
@@ -76,12 +100,13 @@ def telling_terms(vectors: list[dict[str, float]], idf: dict[str, float], thresh
     return chosen
 
 
-def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, run_threshold: float = RUN_THRESHOLD) -> DataFrame:
     """One row per file: its path, license, score, origin (``own``, ``inherited``, ``none``) and from_dir.
 
-    ``own`` is the licence of the best-scoring line (ties: the first name); ``inherited`` that of the nearest ancestor
-    directory, its own included, with a licence file, where the best score, then the first name counts; from_dir is that
-    directory ('' is the root). Null paths read as '', a file of the root; null texts as empty. Rows that share a path
+    ``own`` is the licence of the best-scoring line, run of terms or whole file (ties: the first name); ``inherited``
+    that of the nearest ancestor directory, its own included, with a licence file, where the best score, then the first
+    name counts; from_dir is that directory ('' is the root). A licence file is named so, or states it in its lines
+    (``FILE_SHARE``), or says it better as a whole than in any line. ``run_threshold`` is at least ``threshold``. Null paths read as '', a file of the root; null texts as empty. Rows that share a path
     are one file and get one answer each. A file's score is 0 where it has no licence of its own or by inheritance.
     """
     spark = files.sparkSession
@@ -102,23 +127,37 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     idf_rows = spark.createDataFrame(list(idf.items()), "term string, idf double")
 
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""))
-    apart = files.where(F.arrays_overlap(known, F.lit(telling))).select("path", lines.alias("lines"))
-    apart = apart.select("path", F.size("lines").alias("n_lines"), F.explode("lines").alias("line"))
+    told = files.where(F.arrays_overlap(known, F.lit(telling)))
+    apart = told.select("path", lines.alias("lines")).select("path", F.size("lines").alias("n_lines"), F.explode("lines").alias("line"))
     apart = apart.withColumn("terms", terms(F.col("line"))).where(F.arrays_overlap("terms", F.lit(telling)))
-    apart = cut(apart.groupBy("path", "line").agg(F.max("n_lines").alias("n_lines"), F.first("terms").alias("terms")))
-    counts = apart.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    apart = apart.select("path", F.lit("line").alias("kind"), F.sha2("line", 256).alias("key"), "terms", "n_lines")
+    texts = told.select("path", terms(F.col("text")).alias("terms"), known)
+    # a file reaches the threshold as a whole only if the part of its vector on the templates' terms has that share of its length
+    weight = F.create_map(*(F.lit(x) for pair in idf.items() for x in pair))
+    inside = F.aggregate("known", F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter("terms", lambda x: x == t)) * weight[t], F.lit(2.0)))
+    outside = (F.size(F.array_distinct("terms")) - F.size("known")) * unseen ** 2
+    small = texts.where(outside <= inside * (1 / max(threshold - 1e-5, 1e-5) ** 2 - 1))
+    for kind, rows in (("run", runs(texts, templates, telling)), ("file", small)):
+        apart = apart.unionByName(rows.select("path", F.lit(kind).alias("kind"), F.sha2(F.array_join("terms", " "), 256).alias("key"), "terms", F.lit(0).alias("n_lines")))
+    of = ["path", "kind", "key"]
+    apart = cut(apart.groupBy(*of).agg(F.max("n_lines").alias("n_lines"), F.first("terms").alias("terms")))
+    counts = apart.select(*of, F.explode("terms").alias("term")).groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = counts.join(F.broadcast(idf_rows), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # bounded by the templates
-    norms = counts.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counts.join(F.broadcast(weights), "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, ["path", "line"]).select("path", "line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    norms = counts.groupBy(*of).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counts.join(F.broadcast(weights), "term").groupBy(*of, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    least = F.when(F.col("kind") == "run", F.lit(run_threshold)).otherwise(F.lit(threshold))
+    cosines = dots.join(norms, of).select(*of, "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license"))
-    stated = cosines.groupBy("path").agg(best.alias("b"), F.count_distinct("line").alias("n_stated")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "n_stated")
+    line = F.when(F.col("kind") == "line", F.col("key"))
+    stated = cosines.groupBy("path").agg(best.alias("b"), F.count_distinct(line).alias("n_stated"), F.max(F.when(F.col("kind") == "line", F.col("score"))).alias("of_line"), F.max(F.when(F.col("kind") == "file", F.col("score"))).alias("of_file"))
+    stated = stated.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "n_stated", (F.col("of_file") > F.coalesce("of_line", F.lit(0.0))).alias("whole"))
     sizes = apart.groupBy("path").agg(F.max("n_lines").alias("n_lines"))
     stated = cut(stated.join(sizes, "path"))
 
     parts = F.split("path", "/")
     folder = lambda depth: F.array_join(F.slice(parts, 1, depth), "/")
-    is_file = (F.element_at(parts, -1).rlike(FILE_NAME)) | (F.col("n_stated") >= FILE_SHARE * F.col("n_lines"))
+    by_lines = (F.col("n_stated") > 0) & (F.col("n_stated") >= FILE_SHARE * F.col("n_lines"))
+    is_file = F.element_at(parts, -1).rlike(FILE_NAME) | by_lines | F.coalesce("whole", F.lit(False))
     folders = stated.where(is_file).groupBy(folder(F.size(parts) - 1).alias("dir")).agg(best.alias("b")).select("dir", F.col("b.license").alias("d_license"), (-F.col("b.s")).alias("d_score"))
     bare = files.select("path").distinct().join(stated.select("path"), "path", "left_anti")
     up = bare.select("path", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth")).withColumn("dir", F.when(F.col("depth") == 0, "").otherwise(folder(F.col("depth"))))

@@ -127,6 +127,23 @@ def test_licences_of_a_tree(spark):
     assert licence_scan(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+def test_licences_beyond_single_lines(spark):
+    wrapped = "This work is licensed under the GNU General\nPublic License, version 3"
+    block = "# Copyright the authors of this code\n#\n# Licensed under the Apache\n# License, Version\n# 2.0\nimport nothing at all\n"
+    permission = "MIT\n\nCopyright (c) 2020 Somebody Else\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files, to deal in the software"
+    inside = "some " * 200 + "words, released under the MIT License, and " + "more " * 200
+    files = [("w/wrapped.txt", wrapped), ("w/bare.txt", "prose"), ("b/code.py", block), ("b/other.py", "prose"), ("l/LICENSE", permission), ("l/x/y.py", "prose"),
+             ("i/long.txt", inside), ("n/prose.txt", "words of the rights of others and\nof the works that they do " * 40), ("s/short.txt", "All\nrights\nreserved"), ("s/z.txt", "prose")]
+    files += [(f"p/{i}.txt", f"prose of number {i} and under the rest") for i in range(200)]
+    got = {r["path"]: (r["license"], r["origin"], r["from_dir"]) for r in licence_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert len(got) == len(files)
+    assert got["w/wrapped.txt"] == ("GPL-3.0", "own", None) and got["w/bare.txt"] == ("GPL-3.0", "inherited", "w")
+    assert got["b/code.py"] == ("Apache-2.0", "own", None) and got["b/other.py"] == (None, "none", None)
+    assert got["l/LICENSE"] == ("MIT", "own", None) and got["l/x/y.py"] == ("MIT", "inherited", "l")
+    assert got["i/long.txt"] == ("MIT", "own", None) and got["n/prose.txt"] == (None, "none", None)
+    assert got["s/short.txt"][0] == got["s/z.txt"][0] == "All-Rights-Reserved"
+
+
 def test_untelling_terms_cannot_reach_the_threshold():
     g = random.Random(1)
     vectors = [{f"t{g.randrange(30)}": g.random() + 0.1 for _ in range(8)} for _ in range(12)]

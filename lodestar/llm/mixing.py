@@ -4,8 +4,8 @@
    in the order of cap / weight the level at which the rest fits is found with running sums (one row a source).
 2. Each source's documents, in hash order, form a stream that is cut into blocks of equal words. Positions are
    running sums within hash ranges plus the ranges' own running sums, so a hot source is no single task's work.
-3. The schedule maps the golden-ratio points frac(i * phi) through the cumulative shares to sources and ranks
-   each source's slots. A source's slot of rank r plays block r of its stream, over again after the last one;
+3. The schedule maps the golden-ratio points frac(i * phi) through the cumulative shares, a table joined by
+   prefix buckets of the points, to sources and ranks each source's slots. A source's slot of rank r plays block r of its stream, over again after the last one;
    the slot that passes the target is cut, and a source that came out some slots short gets them at the end.
 4. Blocks join the pieces of documents they hold; a document's words taken are summed over its pieces.
 """
@@ -24,8 +24,8 @@ BLOCK_WORDS = 512
 RANGES = 2048
 #: Fractional part of the golden ratio, in units of 2^-32: points are exact integers below 2^32.
 GOLDEN = 2654435769
-#: Sources of a mix; their cumulative shares are held by every task.
-MOST_SOURCES = 10_000
+#: Sources of one range of a running sum, and ranges at most.
+RANGE_SOURCES, MOST_RANGES = 50_000, 2048
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -35,25 +35,38 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return rows.withColumn("hash", F.xxhash64("doc_id", "source"))
 
 
+def running(rows: DataFrame, order: list, **sums: str) -> DataFrame:
+    """``rows`` with ``n_before`` (rows) and, for each of ``sums``, the column's sum over the rows before in ``order``.
+
+    Sums run within ranges of the order, plus the ranges' own running sums.
+    """
+    n = min(MOST_RANGES, max(1, -(-rows.count() // RANGE_SOURCES)))
+    rows = cut(rows.withColumn("n_before", F.lit(1).cast("long")).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    sums = {"n_before": "n_before", **sums}
+    parts = rows.groupBy("part").agg(*(F.sum(c).alias(f"base_{name}") for name, c in sums.items()))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    parts = parts.select("part", *(F.coalesce(F.sum(f"base_{name}").over(earlier), F.lit(0)).alias(f"base_{name}") for name in sums))
+    inside = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"in_{name}") for name, c in sums.items()))
+    kept = [c for c in rows.columns if c not in ("part", "n_before") and not c.startswith("in_")]
+    return cut(rows.join(F.broadcast(parts), "part").select(*kept, *((F.col(f"base_{name}") + F.col(f"in_{name}")).alias(name) for name in sums)))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """source, k (place by code point, null last), source_size, target; ``sizes`` has a row a source."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    k = F.row_number().over(by_name).alias("k")
-    rows = sizes.select("source", "source_size", k)
+    rows = running(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()])
+    rows = rows.select("source", "source_size", (F.col("n_before") + 1).alias("k"))
     rows = rows.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("k") - 1) % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("cap", most * F.col("source_size"))
-    before = W.orderBy(F.col("cap") / F.col("w"), "k").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    rows = rows.withColumn("filled", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    rows = rows.withColumn("left_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    rows = rows.withColumn("cap", most * F.col("source_size")).withColumn("full", F.col("cap") / F.col("w"))
+    rows = running(rows, [F.col("full").asc(), F.col("k").asc()], size_before="source_size", w_before="w")
+    everything = rows.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
     # if all from here on got an equal level a weight; the sources before are at their caps
-    rows = rows.withColumn("level", (share * F.sum("source_size").over(everything) - F.col("filled")) / F.col("left_w"))
-    free = F.col("level") * F.col("w") < F.col("cap")
-    rows = rows.withColumn("place", F.row_number().over(W.orderBy(F.col("cap") / F.col("w"), "k")))
-    first = F.min(F.when(free, F.struct("place", "level"))).over(everything)
-    rows = rows.withColumn("at", first)
-    held = F.col("at").isNull() | (F.col("place") < F.col("at.place"))
-    return rows.select("source", "k", "source_size", F.when(held, F.col("cap")).otherwise(F.col("at.level") * F.col("w")).alias("target"))
+    left_w = F.lit(everything["w"]) - F.col("w_before")
+    rows = rows.withColumn("level", (share * F.lit(everything["size"]) - most * F.col("size_before")) / left_w)
+    first = rows.where(F.col("level") * F.col("w") < F.col("cap")).agg(F.min(F.struct("n_before", "level")).alias("at")).first()["at"]
+    place, level = (None, None) if first is None else first
+    held = F.lit(True) if first is None else F.col("n_before") < place
+    return rows.select("source", "k", "source_size", F.when(held, F.col("cap")).otherwise(F.lit(level).cast("double") * F.col("w")).alias("target"))
 
 
 def positions(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -70,25 +83,34 @@ def positions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return inside.join(starts, ["k", "range"]).select("doc_id", "k", "size", (F.col("base") + F.col("inside")).alias("start"))
 
 
+def _point(sums: str, total: int):
+    """floor(sums * 2^32 / total), 16 bits at a time, so that nothing overflows (totals below 2^47)."""
+    n = max(total, 1)
+    return F.expr(f"(((({sums}) * 65536L) div {n}L) * 65536L) + ((((({sums}) * 65536L) % {n}L) * 65536L) div {n}L)")
+
+
 def schedule(plan: DataFrame, block: int) -> DataFrame:
     """(slot, k, rank): the order in which blocks are played; slot counts on over the whole mix."""
     spark = plan.sparkSession
     stream, goal = F.col("source_size"), F.floor("target")
     need = F.floor(goal / stream) * F.ceil(stream / block) + F.ceil((goal % stream) / block)
     live = plan.where("target >= 1").select("k", need.cast("long").alias("need"))
-    shares = live.orderBy("k").limit(MOST_SOURCES + 1).collect()  # a row a source
-    if len(shares) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    total, ends, up_to = sum(r["need"] for r in shares), [], 0
-    for r in shares:  # a source's points are those from the end before it to its own, of 2^32
-        up_to += r["need"]
-        ends.append((up_to << 32) // total)
+    found = live.agg(F.sum("need").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total = found["total"] or 0
+    # a source's points are those from the end before it to its own, of 2^32
+    shares = running(live, [F.col("k").asc()], before="need")
+    shares = shares.select("k", _point("before", total).alias("begin"), _point("before + need", total).alias("end")).where("begin < end")
+    # as many prefixes as sources, so a slot meets two sources on average however their shares crowd
+    bits = min(32, max(12, (found["n"] - 1).bit_length() if found["n"] else 0))
+    for width in (32 - bits // 2, 32 - bits):  # in two steps, so no row holds a long list
+        shares = shares.withColumn("bucket", F.explode(F.sequence(F.shiftright("begin", width), F.shiftright(F.col("end") - 1, width))))
+        start = F.shiftleft("bucket", width)
+        shares = shares.select("k", "bucket", F.greatest("begin", start).alias("begin"), F.least("end", start + F.lit(1 << width)).alias("end"))
     seeds = spark.range(total).withColumnRenamed("id", "slot")  # Spark knows its size, so joins of it are planned for that
     # slot * GOLDEN mod 2^32, slot taken mod 2^32 first so that nothing overflows past 64 bits
     point = ((F.col("slot") % (1 << 32)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1))
-    before = F.size(F.filter(F.lit(ends), lambda e: e <= F.col("point")))
-    slots = seeds.withColumn("point", point).withColumn("k", F.element_at(F.lit([r["k"] for r in shares]), before + 1)) if shares else seeds.withColumn("k", F.lit(0))
-    slots = slots.select("slot", "k")
+    slots = seeds.withColumn("point", point).withColumn("bucket", F.shiftright("point", 32 - bits))
+    slots = slots.join(shares, "bucket").where("begin <= point AND point < end").select("slot", "k")
     # ranks: running counts within runs of slots, plus the runs' own running counts
     slots = slots.withColumn("run", F.floor(F.col("slot") / (1 << 16)))
     runs = slots.groupBy("k", "run").agg(F.count(F.lit(1)).alias("n"))

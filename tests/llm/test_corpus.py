@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate as D
+from lodestar.llm import mixing as M
 from lodestar.llm import token_counts as T
 from lodestar.llm.licences import licence_scan, telling_terms
 from lodestar.llm.mixing import mix
@@ -107,6 +108,18 @@ def test_mix_meets_targets(request, name):
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, map(tuple, again)))
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_SOURCES", 3000, raising=False)  # running sums over several ranges
+    n = 10_500
+    sizes = {f"host{i}": 2000 if i == 77 else 1 + i % 3 for i in range(n)}
+    df = spark.createDataFrame([(i, " ".join(["w"] * k), s) for i, (s, k) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    rows, want = M.mix(df, block=16).collect(), targets_by_force(sizes)
+    assert len(rows) == n
+    for r in rows:  # a source of one document
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]])
+        assert r["taken"] == int(r["target"])
+
+
 def test_mix_of_nothing(none, odd):
     assert mix(none).collect() == []
     assert {r["taken"] for r in mix(odd.withColumn("text", F.lit(" "))).collect()} == {0}

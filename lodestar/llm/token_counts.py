@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import base64
 from pathlib import Path
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, map_batches, texts_of
+from .shared import BATCH_BYTES, cut, map_batches, texts_of
 
 #: A public byte-level BPE; the separator is the id after its last one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -29,6 +31,8 @@ SEPARATOR = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Tokens of a block, blocks of a chunk.
 BLOCK_TOKENS, CHUNK = 1 << 17, 1024
+#: Bytes of raw files that a task reads, and tasks at most (beyond them a task reads more).
+TASK_BYTES, MOST_TASKS = 16 << 20, 1 << 16
 
 _FLAT = "file long, block long, tokens binary, ids array<long>"
 
@@ -74,13 +78,66 @@ def write_flat(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
     return cut(map_batches(docs, _write("doc_id", "text", words, separator), _FLAT))
 
 
+def _open(path: str):
+    """(pyarrow file system, path in it) of a path as Spark tells it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if path.startswith("s3a:"):
+        path = "s3" + path.removeprefix("s3a")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def _read_ranges(size: int, batch_bytes: int):
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            files, numbers, tokens = [], [], []
+            last, source = None, None
+            for file, block, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != last:
+                    if source is not None:
+                        source.close()
+                    system, name = _open(file)
+                    last, source = file, system.open_input_file(name)
+                wanted = min(size, length - block * size)
+                raw = source.read_at(wanted, block * size)
+                if len(raw) != wanted:
+                    raise OSError(f"{file} has changed since it was listed")
+                files.append(file), numbers.append(block), tokens.append(raw)
+                if len(files) * size >= batch_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(numbers, pa.int64()), pa.array(tokens, pa.binary())], schema=schema)
+                    files, numbers, tokens = [], [], []
+            if files:
+                yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(numbers, pa.int64()), pa.array(tokens, pa.binary())], schema=schema)
+            if source is not None:
+                source.close()
+
+    return run
+
+
 def read_flat(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens) of raw binary token files; ``file`` is the path. Spark reads each file as one value (up to 2 GB)."""
+    """(file, block, tokens) of raw binary token files of any length; ``file`` is the path.
+
+    Files are listed, not read, with their lengths; their blocks are dealt to tasks, which read just those bytes with
+    pyarrow's file systems (local, HDFS and viewfs where libhdfs is there, S3, GCS). Where the driver cannot open the
+    first file so, Spark reads each file as one value, up to 2 GB.
+    """
     size = token_bytes * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
+    files = spark.read.format("binaryFile").load(path)
     n = F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("long")
-    blocks = files.select("file", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
-    return blocks.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("tokens"))
+    some = files.select("path").first()
+    try:
+        ranged = some is None or _open(some["path"])[0].get_file_info(_open(some["path"])[1]).is_file
+    except (OSError, ValueError, NotImplementedError):
+        ranged = False
+    if not ranged:
+        blocks = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
+        return blocks.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("tokens"))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    blocks = files.select(F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block")).select("file", "block", "length")
+    blocks = blocks.repartition(min(MOST_TASKS, max(1, -(-total // TASK_BYTES))), "file", "block")
+    return map_batches(blocks, _read_ranges(size, BATCH_BYTES), "file string, block long, tokens binary")
 
 
 def _search(separator: int, dtype: str):

@@ -198,6 +198,31 @@ def test_separator_scan_of_flat_files(spark, tmp_path):
     assert got == want
 
 
+def test_flat_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "TASK_BYTES", 4096, raising=False)
+    ids = np.random.default_rng(2).integers(0, 60, 20_001).astype("<u2")
+    ids.tofile(tmp_path / "a file.bin")
+    key = "spark.sql.sources.binaryFile.maxLength"  # stands for the 2 GB that a value can have
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        blocks = T.read_flat(spark, str(tmp_path), block_tokens=64)
+        rows = T.count_tokens(blocks, separator=7).orderBy("ordinal").collect()
+        assert blocks.select(F.spark_partition_id()).distinct().count() > 1 and blocks.agg(F.max(F.length("tokens"))).first()[0] == 128
+    finally:
+        spark.conf.set(key, old)
+    assert [r["n_tokens"] for r in rows] == lengths_by_force(ids.tolist(), 7)
+
+
+def test_flat_files_beyond_pyarrow(spark, tmp_path, monkeypatch):
+    def closed(path):
+        raise OSError(path)
+
+    np.array([1, 2, 7, 3], "<u2").tofile(tmp_path / "a.bin")
+    monkeypatch.setattr(T, "_open", closed)
+    assert [r["n_tokens"] for r in T.count_tokens(T.read_flat(spark, str(tmp_path), block_tokens=2), separator=7).orderBy("ordinal").collect()] == [2, 1]
+
+
 def encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(T.VOCABULARY, "rb"))}
     return tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={})

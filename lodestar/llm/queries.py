@@ -10,12 +10,15 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .licences import TEMPLATES, THRESHOLD, document_paths, licence_scan, template_terms
 from .line_dedup import line_dedup
+from .merkle import lowered, manifest
 from .mixing import mix
 from .pii import personal_data
 from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_groups
 from .token_counts import document_tokens
+from .url_filter import ALLOW, BLOCK, HIDDEN, TAGS, rule_table, url_filter
+from .vector_codes import compress
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -131,6 +134,148 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = manifest(docs, changes={"text": lowered(F.col("text"))}, changed=tampered).proofs()
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _crc_byte(x: int) -> int:
+    for _ in range(8):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, a table step a byte."""
+    ones = "CAST(4294967295 AS UBIGINT)"
+    steps = "[" + ", ".join(f"CAST({_crc_byte(x)} AS UBIGINT)" for x in range(256)) + "]"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend({ones}, {codes}), lambda a, c: xor(a >> 8, {steps}[CAST((xor(a, c) & 255) + 1 AS BIGINT)])), {ones})"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen({c}) AS VARCHAR) || ':' || {c} END" for c in fields) + ")"
+
+
+SQL11 = f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf_sql('text')} AS leaf, {_leaf_sql(_LOWER.format('text'))} AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (
+  SELECT g, 0 AS lvl, i, leaf AS h, n FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((n + 15) // 16) FROM t WHERE n > 1 GROUP BY g, lvl, i // 16),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, i, subroot AS h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((n + 15) // 16) FROM u WHERE n > 1 GROUP BY lvl, i // 16),
+hi AS (SELECT g, max(lvl) AS height FROM t GROUP BY g),
+-- siblings left and right of each node, in each tree
+ts AS (SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+       FROM t a JOIN t b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+us AS (SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+       FROM u a JOIN u b ON a.lvl = b.lvl AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+f AS (
+  SELECT doc_id, g, leaf, 0 AS lvl, i, '' AS proof, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN other ELSE leaf END AS h, i AS pos FROM p
+  UNION ALL
+  SELECT f.doc_id, f.g, leaf, f.lvl + 1, f.i // 16, proof || l || r, sha256(l || h || r), pos FROM f JOIN ts ON f.g = ts.g AND f.lvl = ts.lvl AND f.i = ts.i),
+e AS (SELECT f.*, s.subroot, s.i AS si FROM f JOIN hi ON f.g = hi.g AND f.lvl = hi.height JOIN s ON f.g = s.g),
+w AS (
+  SELECT doc_id, g, pos, leaf, subroot, 0 AS lvl, si AS i, proof, h FROM e
+  UNION ALL
+  SELECT doc_id, g, pos, leaf, subroot, w.lvl + 1, w.i // 16, proof || l || r, sha256(l || h || r) FROM w JOIN us ON w.lvl = us.lvl AND w.i = us.i)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM w, (SELECT h AS root, lvl AS top FROM u WHERE n = 1) WHERE w.lvl = top
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _assigned(name: str, book: str) -> str:
+    return f"""
+{name} AS (SELECT vec_id, label, part, x, arg_min(entry, dist * 64 + entry) AS entry, min(dist) AS dist
+  FROM (SELECT v.*, entry, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v JOIN {book} b USING (part)) GROUP BY vec_id, label, part, x)"""
+
+
+def _moved(name: str, book: str, by: str) -> str:
+    return f"""
+{name} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS x FROM (
+    SELECT part, entry, pos, CAST(sum(x[pos]) AS BIGINT) AS s, count(*) AS n FROM {by}, (SELECT unnest(generate_series(1, (SELECT max(len(x)) FROM v))) AS pos) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry))"""
+
+
+SQL12 = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (SELECT vec_id, label, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS x FROM k, (SELECT unnest(generate_series(0, 15)) AS part)),
+c0 AS (SELECT part, entry, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k) USING (vec_id) WHERE entry < 64),
+{_assigned('a0', 'c0')}, {_moved('c1', 'c0', 'a0')}, {_assigned('a1', 'c1')}, {_moved('c2', 'c1', 'a1')}, {_assigned('a2', 'c2')},
+o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h
+"""
+
+#: The rules that the contract states.
+URL_RULES = ((BLOCK, "net/"), (ALLOW, "example.net/en/"), (BLOCK, "example.com/de/"), (ALLOW, "org/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+    return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _part_sql(url: str, i: int) -> str:
+    found = f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', {i})"
+    return _LOWER.format(found) if i == 1 else found
+
+
+def _node_sql(url: str) -> str:
+    host, path = (_part_sql(url, i) for i in (1, 2))
+    return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, ':(80|443)$', '') || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {_part_sql(url, 3)} END"
+
+
+def _attribute_sql(name: str) -> str:
+    found = f"regexp_extract(tag, {_sql(rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")}, 1)"
+    return f"trim(regexp_replace({found}, {_sql(r"""^["']|["']$|[\t\n\r\x0B\f]""")}, '', 'g'), ' ')"
+
+
+_RULE_ROWS = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in URL_RULES)
+SQL13 = f"""
+WITH RECURSIVE
+r(verdict, rule) AS (VALUES {_RULE_ROWS}),
+p AS (SELECT page_id, {_part_sql('url', 1)} AS host, {_part_sql('url', 2)} AS path, {_node_sql('url')} AS node FROM pages),
+t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, {_sql(HIDDEN)}, ' ', 'g'), {_sql(TAGS)})) AS tag FROM pages WHERE contains(url, '://')),
+k AS (SELECT url, CASE WHEN lower(tag[2:5]) = 'link' AND regexp_matches({_attribute_sql('rel')}, '(?i)(^|\\s)canonical(\\s|$)') THEN {_attribute_sql('href')}
+                       WHEN lower(tag[2:5]) <> 'link' AND lower({_attribute_sql('http-equiv')}) = 'refresh'
+                       THEN trim(regexp_extract({_attribute_sql('content')}, {_sql(r"""(?is)^\s*[0-9.]+\s*[;,]\s*url\s*=\s*["']?([^"']*)""")}, 1), ' ') END AS raw FROM t),
+h AS (SELECT url, regexp_replace(raw, '(?i)&amp;', '&', 'g') AS href, 'http://' || {_part_sql('url', 1)} AS base, {_part_sql('url', 2)} AS path FROM k WHERE raw <> '' AND raw NOT LIKE '#%'),
+f AS (SELECT url, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                       WHEN href LIKE '//%' THEN 'http:' || href WHEN href LIKE '/%' THEN base || href WHEN href LIKE '?%' THEN base || path || href
+                       ELSE base || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS target FROM h),
+l AS (SELECT DISTINCT a, b FROM (SELECT {_node_sql('url')} AS a, {_node_sql('target')} AS b FROM f WHERE target IS NOT NULL) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT a AS node, a AS other FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.other = e.a),
+q AS (SELECT host, path FROM p UNION SELECT {_part_sql("('http://' || node)", 1)}, {_part_sql("('http://' || node)", 2)} FROM c),
+m AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM (SELECT *, regexp_extract(rule, '^[^/]*') AS site, regexp_extract(rule, '^[^/]*(.*)$', 1) AS start FROM r) r
+      JOIN q ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY host, path),
+s AS (SELECT node, min(verdict) AS shared FROM (SELECT node, {_part_sql("('http://' || other)", 1)} AS host, {_part_sql("('http://' || other)", 2)} AS path FROM c) JOIN m USING (host, path) GROUP BY node)
+SELECT page_id, p.host, p.path, m.rule, coalesce(m.verdict, s.shared, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path LEFT JOIN s ON p.node = s.node
+"""
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, SQL1),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, SQL2),
@@ -142,4 +287,7 @@ QUERIES = {
     "op8_personal_data": (op8_personal_data, None),
     "op9_license_scan": (op9_license_scan, SQL9),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, SQL11),
+    "op12_vector_codes": (op12_vector_codes, SQL12),
+    "op13_url_filter": (op13_url_filter, SQL13),
 }

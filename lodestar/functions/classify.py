@@ -13,6 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.lexicon import TermIndex
 from lodestar.functions.text import ColumnOrName, col, contains_any, count_terms, is_missing, let, trim_ws
 
 Lexicon = Sequence[tuple[str, Sequence[str]]]
@@ -118,13 +119,13 @@ def work_type(flag: ColumnOrName | None, *text_cols: ColumnOrName) -> Column:
 def is_inside(text: ColumnOrName, inside: Sequence[str]) -> Column:
     """Non-blank text containing an inside term."""
     t = F.lower(trim_ws(col(text)))
-    return F.coalesce((t != "") & contains_any(t, inside), F.lit(False))
+    return F.coalesce((t != "") & TermIndex.of(inside).any(t), F.lit(False))
 
 
 def is_outside(text: ColumnOrName, inside: Sequence[str], outside: Sequence[str]) -> Column:
     """Non-blank, no inside term, some outside term."""
     t = F.lower(trim_ws(col(text)))
-    return F.coalesce((t != "") & ~contains_any(t, inside) & contains_any(t, outside), F.lit(False))
+    return F.coalesce((t != "") & ~TermIndex.of(inside).any(t) & TermIndex.of(outside).any(t), F.lit(False))
 
 
 def keep_region(text: ColumnOrName, inside: Sequence[str], outside: Sequence[str],
@@ -132,6 +133,6 @@ def keep_region(text: ColumnOrName, inside: Sequence[str], outside: Sequence[str
     """F05 predicate: blank → keep unless strict; inside → keep; outside → drop; else keep unless strict."""
     t = F.lower(trim_ws(F.coalesce(col(text), F.lit(""))))
     return (F.when(t == "", F.lit(not strict))
-            .when(contains_any(t, inside), F.lit(True))
-            .when(contains_any(t, outside), F.lit(False))
+            .when(TermIndex.of(inside).any(t), F.lit(True))
+            .when(TermIndex.of(outside).any(t), F.lit(False))
             .otherwise(F.lit(not strict)))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import markup
 from lodestar.functions.dates import epoch_ms_to_date
 from lodestar.functions.text import ColumnOrName, col, first_nonblank, strip_html, trim_ws
 
@@ -252,6 +253,38 @@ def clean_author(label: ColumnOrName, text: ColumnOrName) -> Column:
     return F.coalesce(first_nonblank(F.regexp_extract(F.coalesce(col(label), F.lit("")), AUTHOR_LABEL, 1)), t)
 
 
+# ---- pages as tag streams: elements of any depth ---------------------------------------
+
+def extract_cards(df: DataFrame, html: str, key: str, base: str | ColumnOrName = "", min_len: int = 3, href_pattern: str = "", containers: Sequence[str] = ("article", "li", "tr"), card_chars: int = 300) -> DataFrame:
+    """X05 with the card around the anchor: (key, place, title, url, container, card_text), as :func:`extract_links` else.
+
+    The card is the innermost of the first of ``containers`` that the anchor is in; without any it is the text from the
+    anchor to the next one.
+    """
+    own = [] if isinstance(base, str) else [base]
+    b = base if isinstance(base, str) else F.col(base)
+    fits = lambda a: (F.length(a["title"]) >= min_len) & (a["href"].rlike(href_pattern) if href_pattern else F.lit(True))
+    x = df.select(key, *own, F.filter(markup.linked_cards(html, containers, card_chars), fits).alias("__a"))
+    x = x.withColumn("__u", F.transform("__a", lambda a: canonical_url(a["href"], b)))
+    x = x.select(key, F.explode(F.filter(F.arrays_zip("__a", "__u"), lambda z, i: F.array_position("__u", z["__u"]) == i + 1)).alias("__z"))
+    return x.select(key, F.col("__z.__a.at").alias("place"), F.col("__z.__a.title").alias("title"), F.col("__z.__u").alias("url"), *[F.col(f"__z.__a.{c}").alias(c) for c in ("container", "card_text")])
+
+
+def extract_nested_rows(df: DataFrame, html: str, key: str, min_cells: int = 1) -> DataFrame:
+    """X07 at any depth: (key, place, depth, cells), a row's own cells, whose texts hold the tables within them."""
+    return df.select(key, F.inline(markup.nested_rows(html, min_cells))).withColumnRenamed("at", "place")
+
+
+def extract_sections(df: DataFrame, html: str, key: str, levels: Sequence[int] = (1, 2, 3, 4, 5, 6), chars: int = 300) -> DataFrame:
+    """X06 with what stands below a heading: (key, pos, level, heading, section)."""
+    return df.select(key, F.inline(markup.sections(html, levels, chars)))
+
+
+def extract_term_pairs(df: DataFrame, html: str, key: str) -> DataFrame:
+    """X14 at any depth: (key, place, label, value) of definition lists, nested ones too."""
+    return df.select(key, F.inline(markup.term_pairs(html))).withColumnRenamed("at", "place")
+
+
 PAIR = r"(?is)<dt(?:\s[^>]*)?>(.*?)</dt>\s*<dd(?:\s[^>]*)?>(.*?)</dd>"
 
 

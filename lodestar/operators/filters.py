@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.classify import is_inside, is_outside, keep_region, work_type
+from lodestar.functions.lexicon import TermIndex
 from lodestar.functions.money import parse_salary_filter, salary_value
 from lodestar.functions.text import ColumnOrName, col, contains_any, keyword_tokens, let, trim_ws
 from lodestar.profiles.jobs import JOBS, STOP_WORDS
@@ -27,7 +28,7 @@ def where_contains(df: DataFrame, c: str, needle: str | None) -> DataFrame:
 
 def where_any_term(df: DataFrame, c: str, terms: Sequence[str]) -> DataFrame:
     """keep rows whose lower-cased ``c`` contains any of ``terms``."""
-    return df.where(contains_any(F.lower(F.coalesce(F.col(c), F.lit(""))), [t.lower() for t in terms]))
+    return df.where(TermIndex.of(t.lower() for t in terms).any(F.lower(F.coalesce(F.col(c), F.lit("")))))
 
 
 def where_location(df: DataFrame, c: str, needle: str | None, meta: dict[str, Sequence[str]]) -> DataFrame:

@@ -100,6 +100,14 @@ SELECT page_id, url, html || '<h2>Role ' || CAST(page_id AS STRING) || '</h2><h3
  CASE page_id % 3 WHEN 0 THEN '<ul><li>Person</li><li>We are hiring</li></ul>' WHEN 1 THEN '<ul><li>#opentowork</li></ul>' ELSE '' END ||
  '<a class="c" href="/job/' || CAST(page_id AS STRING) || '?src=x"><b>Job title</b> ' || CAST(page_id AS STRING) || '</a><p>Pune</p><p>5-8 Yrs</p><a href=''/job/' || CAST(page_id AS STRING) || ''' id="d">Job again</a> tail' AS html
 FROM {pages}
+""",
+    "T": """
+SELECT page_id, html || '<!-- <table><tr><td>hidden</td></tr></table> --><h2>Openings <b>' || CAST(page_id AS STRING) || '</b></h2><table class="o"><tr><th>Role<th>Place</tr><tr><td>Lead <a href="/job/' || CAST(page_id AS STRING) || '">open</a>' ||
+ CASE page_id % 3 WHEN 0 THEN '<table><tr><td>Team</td><td>A</td></tr><TR><TD>Size<TD>7</table> note' WHEN 1 THEN '<table></table>' ELSE '' END || '</td><td>Pune</td></tr></table><h3>Inner</h3>text<h2>Next</h2>' ||
+ '<article class="card"><div><a href="/role/' || CAST(page_id AS STRING) || '?x=1">Head of ' || CAST(page_id % 7 AS STRING) || '</a></div><p>Acme</p><ul><li>5-8 Yrs<li><a href="/co">Company</a> of it</ul></article>' ||
+ CASE page_id % 2 WHEN 0 THEN '<ul><li>First <a href="/a">one</a> left<ul><li>deep <a href="/b">two</a></li></ul>rest</li></ul>' ELSE '<a href="/c">bare</a> after <i>it</i>' END ||
+ '<dl><dt>Mail<dd>m' || CAST(page_id AS STRING) || '<dl><dt>In</dt><dd>side</dd></dl><dt>Empty</dt><dt>Phone</dt><dd>12 <b>3</b></dd></dl>' AS html
+FROM {pages}
 """,
     "K": """
 SELECT page_id, html || '<script id="__STATE__" type="application/json">' ||
@@ -119,6 +127,7 @@ VIEW_TABLES = {
     "J": ["part"],
     "H": ["pages"],
     "G": ["pages"],
+    "T": ["pages"],
     "K": ["pages"],
     "D": ["documents"],
 }

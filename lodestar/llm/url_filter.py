@@ -133,5 +133,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     ruled = cut(fitted(own.select("host", "path").unionByName(nodes.select("host", "path")), rules))
     stated = nodes.join(ruled, ["host", "path"]).groupBy("root").agg(F.min("verdict").alias("shared"))  # allow comes first
     passed = alike.join(stated, "root", "left").select("node", F.col("root").alias("component"), "shared")
-    out = own.join(ruled, ["host", "path"], "left").join(passed, "node", "left")
+    # both grow with the pages, and addresses compress so well that a file's size says little: never broadcast them
+    out = own.join(ruled.hint("merge"), ["host", "path"], "left").join(passed.hint("merge"), "node", "left")
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", "shared", F.lit(default)).alias("verdict"), "component")

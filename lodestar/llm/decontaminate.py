@@ -65,8 +65,8 @@ def words_of(text: str | None) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
-def _windows(items: list[tuple[int, str]], window: int):
-    """Distinct phrases of the items (all of ``window`` words, or a whole short item), and who holds them."""
+def _windows(items: list[tuple[int | None, str]], window: int):
+    """Distinct phrases of the items (all of ``window`` words, or a whole short item), and the ids that hold them."""
     phrases: dict[bytes, set[int]] = {}
     for item, text in items:
         h = words_of(text)
@@ -74,7 +74,9 @@ def _windows(items: list[tuple[int, str]], window: int):
             continue
         w = min(window, len(h))
         for a in range(len(h) - w + 1):
-            phrases.setdefault(h[a:a + w].tobytes(), set()).add(item)
+            held = phrases.setdefault(h[a:a + w].tobytes(), set())
+            if item is not None:
+                held.add(item)
     keys = [np.frombuffer(k, np.uint64) for k in phrases]
     return keys, [np.array(sorted(v), np.int64) for v in phrases.values()]
 
@@ -148,7 +150,6 @@ def search(index: DataFrame, test: DataFrame, id_col: str = "item_id", text_col:
     more is a pass of its own), each a scan of the index.
     """
     test = test.select(F.col(id_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    test = test.where("item IS NOT NULL")
 
     def passes():
         held, room = [], PASS_WORDS
@@ -194,8 +195,8 @@ def contamination(docs: DataFrame, test: DataFrame, id_col: str = "doc_id", text
 
     Words are runs of 0-9, a-z (after A-Z was lower-cased) and characters above 0x7F. A document word inside an
     occurrence of any window of a test item is hit; a document is contaminated when some word is hit and hits are
-    at least a twentieth of its words. Null and empty texts have no words; an empty test set hits nothing, a test
-    item of null id is left out. Rows that share a doc_id each get their own row. Other columns are not read.
+    at least a twentieth of its words. Null and empty texts have no words; an empty test set hits nothing. A test item
+    of null id hits like any other, but has no id to be listed or counted by. Rows that share a doc_id each get their own row. Other columns are not read.
     """
     found = search(positional_index(docs, id_col, text_col), test, item_col, item_text_col, window)
     rows = map_batches(found.select("doc_id", "n_words", "firsts", "lasts", "items"), _hit_words, "doc_id long, n_words long, n_hit long, items array<long>")

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -13,6 +14,7 @@ from lodestar.llm import mixing as M
 from lodestar.llm import token_counts as T
 from lodestar.llm.licences import licence_scan, telling_terms
 from lodestar.llm.mixing import mix
+from lodestar.llm.queries import SQL2
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -32,7 +34,7 @@ def contaminated_by_force(text, items, window=13):
         for i in range(len(w) - n + 1):
             if tuple(w[i:i + n]) in spans:
                 hit |= set(range(i, i + n))
-                found.add(item)
+                found |= {item} - {None}
     names = ",".join(sorted(map(str, found)))
     return len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
@@ -49,10 +51,21 @@ def test_contamination_on_documents(spark, docs):
     assert any(r[5] for r in want)
 
 
+def test_an_item_without_an_id_still_contaminates(spark):
+    text = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"a b {text} c d e"), (2, "clean words only")], "doc_id long, text string")
+    got = D.contamination(docs, spark.createDataFrame([(None, text)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(15, 0, True), (0, 0, False)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, ?), (2, 'clean words only')) t(doc_id, text)", [f"a b {text} c d e"])
+    con.execute("CREATE TABLE benchmark AS SELECT CAST(NULL AS BIGINT) AS item_id, CAST(? AS VARCHAR) AS text", [text])
+    assert sorted(con.execute(f"SELECT doc_id, n_hit, n_items, contaminated FROM ({SQL2})").fetchall()) == [(1, 15, 0, True), (2, 0, 0, False)]
+
+
 def test_contamination_on_odd_rows(spark, odd, none, monkeypatch):
     items = [(1, "gamma delta"), (2, "Shared LINE of more"), (3, None), (4, ""), (5, "你好 世界"), (6, "over and over a line of the very long text that repeats itself over and over"), (None, "no id"), (2, "no id here"), (77, "!!!")]
     test = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(((r["doc_id"], *contaminated_by_force(r["text"], [x for x in items if x[0] is not None])) for r in odd.collect()), key=repr)
+    want = sorted(((r["doc_id"], *contaminated_by_force(r["text"], items)) for r in odd.collect()), key=repr)
     assert found_in(odd, test) == want
     monkeypatch.setattr(D, "PASS_WORDS", 5)  # many passes over the index give the same
     assert found_in(odd, test) == want

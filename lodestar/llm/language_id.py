@@ -127,11 +127,15 @@ def _train_windows(text_col: str):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
-    """Learn from at most ``TRAIN_DOCS`` documents with a language, those with a letter, outside the held-out third."""
+    """Learn from at most ``TRAIN_DOCS`` documents with a language, those with a letter, outside the held-out third.
+
+    Of rows that share id and language the one with the least hash of its text counts.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", 3, 1))
     ids = bounded_sample(rows.select("id", "lang").distinct(), TRAIN_DOCS, "id", "lang")
-    rows = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")  # bounded by the sample
+    rows = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}"))  # the sample is bounded by the limit
+    rows = rows.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
     got = map_batches(rows, _train_windows("text"), "lang string, windows binary").toPandas()
     got = got.sort_values(["lang", "windows"], kind="stable")
     names = sorted(got["lang"].unique())

@@ -176,14 +176,16 @@ def held_out(id_col, parts: int, part: int):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learn from at most ``LABELLED`` labelled rows outside the held-out quarter.
 
-    A document labelled several times has its mean label; null labels and labels without a document do not count.
+    A document labelled several times has its mean label; null labels and labels without a document do not count. Of
+    rows that share an id the one with the least hash of its text is learned from, so there is one row an id.
     """
     labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label")).where("__id IS NOT NULL AND label IS NOT NULL")
     labels = labels.where(~held_out("__id", 4, 2)).groupBy("__id").agg(F.avg("label").alias("label"))
     ids = docs.select(F.col(id_col).alias("__doc")).where("__doc IS NOT NULL").distinct()
     sample = bounded_sample(labels.join(ids, F.col("__id") == F.col("__doc"), "left_semi"), LABELLED, "__id")
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("__id") == F.col("__doc")).select("text", "label")  # bounded by the limit
+    rows = texts.join(F.broadcast(sample), F.col("__id") == F.col("__doc"))  # the sample is bounded by the limit
+    rows = rows.groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
     rows = map_batches(rows, _counted("text"), "label double, terms binary, counts binary").toPandas()
     rows = rows.sort_values(["label", "terms", "counts"], kind="stable")
     return QualityModel(SparseCounts(list(rows["terms"]), list(rows["counts"])), rows["label"].to_numpy())

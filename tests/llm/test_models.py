@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -224,3 +225,19 @@ def test_personal_data_on_documents_and_odd_rows(docs, odd, none):
             if sum(i == r["doc_id"] for i, _ in texts) == 1:
                 assert [r[f"n_{k}"] for k in P.KINDS] == [kinds.count(k) for k in P.KINDS]
     assert P.personal_data(none).collect() == []
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
+    """20,000 rows of one labelled id, and of one id and language, bring the driver one row each."""
+    crc = {i: zlib.crc32(str(i).encode()) for i in range(30)}
+    labelled, spoken = [i for i in crc if crc[i] % 4 != 2], [i for i in crc if crc[i] % 3 != 1]
+    hot = min(set(labelled) & set(spoken))
+    many = spark.range(20_000).select(F.lit(hot).cast("long").alias("doc_id"), F.concat(F.lit("some words of text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([(i, f"quelques mots de texte {i}", "fr") for i in crc if i != hot], "doc_id long, text string, lang string")
+    docs = many.union(few)
+    labels = spark.createDataFrame([(i, i % 2) for i in crc], "doc_id long, quality int")
+    assert len(Q.fit(docs, labels).labels) == len(labelled)
+    seen = []
+    monkeypatch.setattr(L.ByteNetwork, "train", lambda self, windows, names: seen.append(len(names)) or self)
+    L.fit(docs)
+    assert len(spoken) <= seen[0] <= len(spoken) * L.TRAIN_WINDOWS

@@ -106,10 +106,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TERMS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*'), lambda x: lower(x))"
 _TEMPLATE_ROWS = ", ".join(f"('{t}', {n}, '{name}', {c})" for name, n, counts in template_terms(TEMPLATES) for t, c in counts.items())
+_CLAIM_ROWS = ", ".join(f"({n}, {list(needs)}, CAST({list(bars)} AS VARCHAR[]))" for n, (_, _, needs, bars) in enumerate(TEMPLATES))
 SQL9 = f"""
 WITH f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir,
              CAST(doc_id AS VARCHAR) || '.txt' AS name, coalesce(text, '') AS text FROM documents),
 t(term, template, license, tf) AS (VALUES {_TEMPLATE_ROWS}),
+claim(template, needs, bars) AS (VALUES {_CLAIM_ROWS}),
 v AS (SELECT DISTINCT term FROM t), n AS (SELECT count(*) AS n FROM f),
 d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM f) JOIN v USING (term) GROUP BY term),
 i AS (SELECT v.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM v LEFT JOIN d USING (term), n),
@@ -119,7 +121,9 @@ s AS (SELECT doc_id, count(*) AS n_lines FROM l WHERE line <> '' GROUP BY doc_id
 c AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest({_TERMS.format('line')}) AS term FROM l) GROUP BY ALL),
 x AS (SELECT c.*, c.tf * coalesce(idf, ln(1 + n) + 1) AS x FROM c LEFT JOIN i USING (term), n),
 y AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-z AS (SELECT doc_id, line, template, license, sum(x * w / w.norm) AS dot FROM x JOIN w USING (term) GROUP BY ALL),
+z0 AS (SELECT doc_id, line, template, license, sum(x * w / w.norm) AS dot FROM x JOIN w USING (term) GROUP BY ALL),
+z AS (SELECT z0.* FROM z0 JOIN claim USING (template) WHERE len(list_filter(needs, lambda n: NOT list_contains({_TERMS.format('line')}, n))) = 0
+      AND NOT list_has_any(bars, {_TERMS.format('line')})),
 h AS (SELECT doc_id, line, license, round(dot / norm, 6) AS score FROM z JOIN y USING (doc_id, line) WHERE round(dot / norm, 6) >= {THRESHOLD}),
 o AS (SELECT doc_id, max(score) AS score, arg_min(license, (-score, license)) AS license, count(DISTINCT line) AS n_stated FROM h GROUP BY doc_id),
 p AS (SELECT dir, max(score) AS score, arg_min(license, (-score, license)) AS license FROM o JOIN s USING (doc_id) JOIN f USING (doc_id) WHERE n_stated >= 0.5 * n_lines GROUP BY dir)

@@ -247,3 +247,21 @@ def test_tokens_of_documents(request, name):
     e = encoder()
     want = sorted(((r["doc_id"], len(e.encode_ordinary(r["text"] or ""))) for r in df.collect()), key=repr)
     assert sorted((tuple(r) for r in T.document_tokens(df).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("text, licence", [
+    ("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "GPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-2.1"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", "BSD-2-Clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "ISC"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("// SPDX-License-Identifier: Some-Other-1.0", None),
+    ("Licensed under the GNU General Public License, version 9", None),
+])
+def test_licences_that_share_their_words(spark, text, licence):
+    files = [("a/file", f"words before\n{text}\nand after"), *((f"p/{i}.txt", f"prose of number {i} and under the rest") for i in range(100))]
+    got = {r["path"]: r["license"] for r in licence_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["a/file"] == licence and got["p/1.txt"] is None

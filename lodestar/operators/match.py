@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import ColumnOrName, col, norm_name
 from lodestar.operators.dedup import dedup_first
+from lodestar.sources.scratch import written
 
 GRAM = 3
 
@@ -63,49 +64,51 @@ def contains_join(needles: DataFrame, nkey: str, ntext: str, hays: DataFrame, hk
     return out.distinct().withColumnsRenamed({"__nk": nkey, "__hk": hkey})
 
 
-def first_containing(needles: DataFrame, hays: DataFrame, text: str, order: str, out: str) -> DataFrame:
+def substring_rows(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, __hs, __g): a row for each distinct substring of one to three letters of each text."""
+    grams = F.flatten(F.array(*[substrings(F.col(text), size) for size in range(1, GRAM + 1)]))
+    return texts.where(F.length(text) > 0).select(*keep, F.col(text).alias("__hs"), F.explode(grams).alias("__g"))
+
+
+def _routed(needles: DataFrame, grams: DataFrame) -> DataFrame:
+    """``needles`` (__ns and more) with __g, the substring of the hays by which each is looked up: a needle of one or two
+    letters by itself, a longer one by its rarest gram over the hays; needles with a gram that no hay has are gone."""
+    whole = needles.where((F.length("__ns") > 0) & (F.length("__ns") < GRAM)).withColumn("__g", F.col("__ns"))
+    count = grams.where(F.length("__g") == GRAM).groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
+    long = needles.where(F.length("__ns") >= GRAM).withColumn("__g", F.explode(substrings(F.col("__ns"), GRAM)))
+    own = [c for c in needles.columns]
+    long = long.join(count, "__g", "left").groupBy(*own).agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__g").alias("g"))).alias("m"))
+    return whole.unionByName(long.where("m.df > 0").select(*own, F.col("m.g").alias("__g")))
+
+
+def first_containing(needles: DataFrame, hays: DataFrame, text: str, order: str, out: str, grams: DataFrame | None = None) -> DataFrame:
     """(text, out): for each needle the hay of least ``order`` that contains it. Pairs are reduced as they are made.
 
     Both tables hold distinct ``text`` values; ``hays`` also ``order``. Each needle of three letters and more looks only
     at the hays of its rarest gram. Hays are grouped by their short substrings once, so a needle of one or two letters
-    meets a single row.
+    meets a single row. ``grams`` are the hays' :func:`substring_rows` with ``order``, if they are at hand.
     """
-    h = hays.select(F.col(text).alias("__hs"), F.col(order).alias("__o")).where(F.length("__hs") > 0)
-    n = needles.select(F.col(text).alias("__ns")).where(F.length("__ns") > 0)
+    grams = (substring_rows(hays, text, order) if grams is None else grams).withColumnRenamed(order, "__o")
+    n = needles.select(F.col(text).alias("__ns"))
     best = F.min(F.struct("__o", "__hs")).alias("__b")
-    short = [n.where(F.length("__ns") == size).join(
-        h.select("__hs", "__o", F.explode(substrings(F.col("__hs"), size)).alias("__ns")).groupBy("__ns").agg(best), "__ns")
-        for size in range(1, GRAM)]
-    grams = h.select("__hs", "__o", F.explode(substrings(F.col("__hs"), GRAM)).alias("__g"))
-    count = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
-    long = n.where(F.length("__ns") >= GRAM).select("__ns", F.explode(substrings(F.col("__ns"), GRAM)).alias("__g"))
-    long = long.join(count, "__g", "left").groupBy("__ns").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__g").alias("g"))).alias("m"))
-    long = long.where("m.df > 0").select("__ns", F.col("m.g").alias("__g"))
-    pairs = long.join(grams, "__g").where(F.col("__hs").contains(F.col("__ns"))).groupBy("__ns").agg(best)
-    for s in short:
-        pairs = pairs.unionByName(s)
+    routed = _routed(n, grams)
+    short = routed.where(F.length("__ns") < GRAM).join(grams.where(F.length("__g") < GRAM).groupBy("__g").agg(best), "__g").select("__ns", "__b")
+    long = routed.where(F.length("__ns") >= GRAM).join(grams.where(F.length("__g") == GRAM), "__g").where(F.col("__hs").contains(F.col("__ns")))
+    pairs = long.groupBy("__ns").agg(best).unionByName(short)
     return pairs.select(F.col("__ns").alias(text), F.col("__b.__hs").alias(out), F.col("__b.__o").alias(order))
 
 
-def first_contained(hays: DataFrame, needles: DataFrame, text: str, order: str, out: str) -> DataFrame:
+def first_contained(hays: DataFrame, needles: DataFrame, text: str, order: str, out: str, grams: DataFrame | None = None) -> DataFrame:
     """(text, out): for each hay the needle of least ``order`` that it contains.
 
     A needle is routed by its rarest gram over the hays; needles of one or two letters join the hays' substrings. Every
     needle that a hay holds must be seen, but only the least is kept, task by task, before anything is shuffled on.
+    ``grams`` are the hays' :func:`substring_rows`, if they are at hand.
     """
-    h = hays.select(F.col(text).alias("__hs")).where(F.length("__hs") > 0)
-    n = needles.select(F.col(text).alias("__ns"), F.col(order).alias("__o")).where(F.length("__ns") > 0)
-    best = F.min(F.struct("__o", "__ns")).alias("__b")
-    grams = h.select("__hs", F.explode(substrings(F.col("__hs"), GRAM)).alias("__g"))
-    count = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
-    long = n.where(F.length("__ns") >= GRAM).select("__ns", "__o", F.explode(substrings(F.col("__ns"), GRAM)).alias("__g"))
-    long = long.join(count, "__g", "left").groupBy("__ns", "__o").agg(F.min(F.struct(F.coalesce("__df", F.lit(0)).alias("df"), F.col("__g").alias("g"))).alias("m"))
-    long = long.where("m.df > 0").select("__ns", "__o", F.col("m.g").alias("__g"))
-    pairs = grams.join(long, "__g").where(F.col("__hs").contains(F.col("__ns"))).groupBy("__hs").agg(best)
-    for size in range(1, GRAM):
-        subs = h.select("__hs", F.explode(substrings(F.col("__hs"), size)).alias("__ns"))
-        pairs = pairs.unionByName(subs.join(n.where(F.length("__ns") == size), "__ns").groupBy("__hs").agg(best))
-    pairs = pairs.groupBy("__hs").agg(F.min("__b").alias("__b"))
+    grams = substring_rows(hays, text) if grams is None else grams
+    n = needles.select(F.col(text).alias("__ns"), F.col(order).alias("__o"))
+    pairs = grams.join(_routed(n, grams), "__g").where(F.col("__hs").contains(F.col("__ns")))
+    pairs = pairs.groupBy("__hs").agg(F.min(F.struct("__o", "__ns")).alias("__b"))
     return pairs.select(F.col("__hs").alias(text), F.col("__b.__ns").alias(out), F.col("__b.__o").alias(order))
 
 
@@ -150,20 +153,23 @@ def company_match(jobs: DataFrame, recruiters: DataFrame, job_company: str = "co
 
     Exact key hit → that key. No exact hit → the recruiter key earliest in
     registration order (``rec_order``) such that either name contains the
-    other. Works on distinct keys only; returns columns ``__jk``, ``__rk``.
+    other. Works on distinct keys only; returns columns ``__jk``, ``__rk``. The two sides' keys and their substrings
+    are written once, so the tables they come from are read once however many ways they are matched.
     """
-    jk = jobs.select(norm_name(job_company).alias("__jk")).where(F.col("__jk") != "").distinct()
+    jk = written(jobs.select(norm_name(job_company).alias("__jk")).where(F.col("__jk") != "").distinct())
     rk = (recruiters.select(norm_name(rec_company).alias("__rk"), F.struct(*[col(c) for c in rec_order]).alias("__pos"))
           .where(F.col("__rk") != "").groupBy("__rk").agg(F.min("__pos").alias("__pos")))
+    rk = written(rk)
     exact = jk.join(rk.select(F.col("__rk").alias("__jk")), on="__jk", how="inner").select(
         "__jk", F.col("__jk").alias("__rk"))
     if not substring:
         return exact
-    rest = jk.join(exact.select("__jk"), on="__jk", how="left_anti")
-    left, right = rest.select(F.col("__jk").alias("__t")), rk.select(F.col("__rk").alias("__t"), "__pos")
-    found = first_containing(left, right, "__t", "__pos", "__rk").unionByName(first_contained(left, right, "__t", "__pos", "__rk"))
+    left = written(jk.join(rk, F.col("__jk") == F.col("__rk"), "left_anti").select(F.col("__jk").alias("__t")))
+    right = rk.select(F.col("__rk").alias("__t"), "__pos")
+    found = (first_containing(left, right, "__t", "__pos", "__rk", written(substring_rows(right, "__t", "__pos")))
+             .unionByName(first_contained(left, right, "__t", "__pos", "__rk", written(substring_rows(left, "__t")))))
     first = found.groupBy("__t").agg(F.min_by("__rk", F.col("__pos")).alias("__rk")).withColumnRenamed("__t", "__jk")
-    return exact.unionByName(first)
+    return written(exact.unionByName(first))
 
 
 MATCH_COLUMNS = ["job_title", "company", "job_url", "platform", "salary", "recruiter_name", "recruiter_title",

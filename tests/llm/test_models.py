@@ -241,3 +241,36 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(L.ByteNetwork, "train", lambda self, windows, names: seen.append(len(names)) or self)
     L.fit(docs)
     assert len(spoken) <= seen[0] <= len(spoken) * L.TRAIN_WINDOWS
+
+
+def test_the_network_finds_each_kind_and_adds_looser_forms(spark):
+    """Fitted on the table: at least nine base spans in ten of every kind, and variants of them are added, no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = P.fit(docs)
+    texts = sorted({r["text"] for r in docs.where(F.col("text").rlike("[0-9@]")).collect()})
+
+    def found_in(text):
+        codes = P.codes_of(text)
+        starts = P.windows_of(codes)
+        return P.reconciled(*tagger.decode(P.cut_windows(codes, starts)), starts, len(codes)) if len(starts) else []
+
+    seen, hit, loose, added = ([0] * 4 for _ in range(4))
+    g = np.random.default_rng(99)
+    for text in texts:
+        base = P.base_spans(text)
+        found = {(a, k, b) for a, k, b, _ in found_in(text)}
+        for s in base:
+            seen[s[1]] += 1
+            hit[s[1]] += s in found
+        if not base:
+            continue
+        varied, spans = P._varied(text, base, g)
+        kept = P.base_spans(varied)
+        more = P.added_spans(varied, kept, found_in(varied))
+        assert set(more) <= set(spans)
+        for s in spans:
+            if not any(s[0] < y and x < s[2] for x, _, y in kept):
+                loose[s[1]] += 1
+                added[s[1]] += s in more
+    assert all(n and h >= 0.9 * n for n, h in zip(seen, hit, strict=True)), (seen, hit)
+    assert added[0] >= 0.5 * loose[0] > 0 and added[3] >= 0.5 * loose[3] > 0 and sum(added) >= 0.2 * sum(loose), (loose, added)

@@ -22,19 +22,24 @@ SORT_ALIASES = {
 
 
 def sort_by(df: DataFrame, key: str | None, descending: bool = False, tie_break: tuple[str, ...] = (),
-            aliases: dict[str, str] = SORT_ALIASES, numeric: bool = False) -> DataFrame:
+            aliases: dict[str, str] = SORT_ALIASES, numeric: bool = False, value_as: str | None = None) -> DataFrame:
     """Sort by an alias with NULLs last in both directions; unknown column → unsorted.
 
-    ``numeric`` sorts pay by its upper number (M07) instead of its text.
+    ``numeric`` sorts pay by its upper number (M07) instead of its text. That number is a column before the sort,
+    made once a row and not once a comparison; it stays under the name ``value_as``, if given.
     """
     if not key:
         return df
     c = aliases.get(key.lower(), key)
     if c not in df.columns:
         return df
-    value = salary_max(c) if numeric and c == "salary" else F.col(c)
-    first = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    return df.orderBy(first, *[F.col(t).asc_nulls_last() for t in tie_break])
+    name = c
+    if numeric and c == "salary":
+        name = value_as or "__by"
+        df = df.withColumn(name, salary_max(c))
+    first = F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
+    out = df.orderBy(first, *[F.col(t).asc_nulls_last() for t in tie_break])
+    return out.drop("__by") if name == "__by" else out
 
 
 def page(df: DataFrame, number: int, size: int, order_by: list) -> DataFrame:

@@ -216,8 +216,8 @@ def o01_sort_by(spark, sf):
 @register("o01_sort_by_amount", f"""{duck_with('P')}
 SELECT item_url, {S.salary_max('salary')} AS amount FROM P ORDER BY amount DESC NULLS LAST, item_url ASC""")
 def o01_sort_by_amount(spark, sf):
-    rows = sort_by(P(spark, sf), "salary", True, ("item_url",), numeric=True)
-    return rows.select("item_url", M.salary_max("salary").alias("amount"))
+    rows = sort_by(P(spark, sf), "salary", True, ("item_url",), numeric=True, value_as="amount")
+    return rows.select("item_url", "amount")
 
 
 @register("o02_page", f"""{duck_with('P')}

@@ -265,3 +265,28 @@ def test_licences_that_share_their_words(spark, text, licence):
     files = [("a/file", f"words before\n{text}\nand after"), *((f"p/{i}.txt", f"prose of number {i} and under the rest") for i in range(100))]
     got = {r["path"]: r["license"] for r in licence_scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got["a/file"] == licence and got["p/1.txt"] is None
+
+
+def test_hashing_a_block_takes_little_memory():
+    """Hashes are those of each run alone, and what is made on the way does not grow with the block."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestar.llm import shared as H
+
+    g = np.random.default_rng(3)
+    buf = g.choice(np.frombuffer(b"abcdefgh     ", np.uint8), 2 << 20)
+    buf[700_000:1_300_000] = 97  # a run longer than what is hashed at once
+    s, e, _ = H.runs(buf, np.array([0, len(buf)]), H.WORD)
+    got = H.run_hashes(buf, s, e)
+    for k in [0, 1, len(s) - 1, *g.integers(0, len(s), 50).tolist()]:
+        assert got[k] == H.run_hashes(buf[s[k]:e[k]], np.array([0]), np.array([e[k] - s[k]]))[0]
+    buf[700_000:1_300_000:7] = 32
+    s, e, _ = H.runs(buf, np.array([0, len(buf)]), H.WORD)
+    H.run_hashes(buf, s, e)
+    tracemalloc.start()
+    H.run_hashes(buf, s, e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(buf)

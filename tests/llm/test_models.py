@@ -274,3 +274,37 @@ def test_the_network_finds_each_kind_and_adds_looser_forms(spark):
                 added[s[1]] += s in more
     assert all(n and h >= 0.9 * n for n, h in zip(seen, hit, strict=True)), (seen, hit)
     assert added[0] >= 0.5 * loose[0] > 0 and added[3] >= 0.5 * loose[3] > 0 and sum(added) >= 0.2 * sum(loose), (loose, added)
+
+
+def test_windows_cover_every_character():
+    """A looser form may have neither digit nor @; the network reads every position."""
+    for n in (0, 1, 31, 32, 33, 63, 64, 65, 96, 97, 128, 129, 1000):
+        text = ("mary.jones at example.com and words " * 30)[:n]
+        covered = set()
+        for s in P.windows_of(P.codes_of(text)):
+            covered |= set(range(s, s + P.WINDOW))
+        assert covered >= set(range(n))
+
+
+def test_decoding_by_a_bound_is_decoding():
+    g = np.random.default_rng(12)
+    for size in (0.3, 1.5):
+        tagger = P.Tagger()
+        for k in tagger.p:
+            tagger.p[k] = (tagger.p[k] + g.normal(0, size, tagger.p[k].shape) * 0.3).astype(np.float32)
+        tagger.p["out_b"][0] += 5 * size  # most windows hold no tag
+        w = g.integers(0, 130, (700, P.WINDOW)).astype(np.uint8)
+        x = tagger.p["embed"][w]
+        h = np.concatenate((tagger._lstm(x, "f"), tagger._lstm(x[:, ::-1], "b")[:, ::-1]), 2)
+        e = h @ tagger.p["out"] + tagger.p["out_b"]
+        got = tagger.emissions(w)
+        assert np.abs(got - e).max() < 1e-3
+        path = tagger.viterbi(got)
+        assert not path[~tagger.may_tag(got)].any()
+        tags, sure = tagger.decode(w)
+        some = path.any(1)
+        assert (tags == path).mean() > 0.999 and not tags[~some].any()
+        tag, _ = tagger.marginals(got)
+        want = np.take_along_axis(tag, path[:, :, None].astype(np.int64), 2)[:, :, 0]
+        same = some & (tags == path).all(1)
+        assert np.abs(sure[same] - want[same]).max(initial=0) < 1e-3

@@ -17,6 +17,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # whose inputs are files of one row group; a real input has many splits.
 SPREAD: int | None = None
 
+# Bytes of a file that one task reads. Spark's own split grows with the input, up to 128 MB, which the sorts before a
+# shuffle (first rows of a key, first positions of a value) can't hold in memory; smaller tasks don't spill.
+SPLIT_BYTES = 16 << 20
+
 # Total order of postings rows (unique): "keep first" means first in this order.
 P_ORDER = ["source_rank", "posted_ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
 C_ORDER = ["kind_rank", "seq"]
@@ -140,6 +144,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build derived view ``name`` (P, C, E, J, H, G, D) from the parquet tables in ``sf_dir``."""
     from lodestar.session import spread
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
     dfs = {t: table(spark, sf_dir, t) for t in VIEW_TABLES[name]}
     if SPREAD:
         dfs = {t: spread(d, SPREAD) if t in ("lineitem", "documents", "pages", "events") else d for t, d in dfs.items()}

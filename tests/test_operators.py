@@ -150,3 +150,18 @@ def test_amounts_are_made_before_the_sort(spark):
     for out in (rows, kept):  # a pattern in the order itself would run at each comparison
         order = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in x]
         assert order and not any("regexp" in x for x in order)
+
+
+def test_views_read_files_in_small_splits(spark, tmp_path, monkeypatch):
+    """A task's share of a file does not grow with the file, or sorts before a shuffle would spill."""
+    from lodestar.plans import fixtures
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    monkeypatch.setattr(fixtures, "SPLIT_BYTES", 50_000)
+    try:
+        spark.range(100_000).selectExpr("id AS event_id", "id % 7 AS user_id", "'a' AS event_type", "timestamp_ntz '2020-01-01 00:00:00' AS ts", "rand(1) AS value") \
+            .repartition(1).write.parquet(f"{tmp_path}/events.parquet")
+        rows = fixtures.view(spark, str(tmp_path), "E")
+        assert rows.rdd.getNumPartitions() >= 10 and rows.count() == 100_000
+    finally:
+        spark.conf.set(conf, before)

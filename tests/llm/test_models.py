@@ -308,3 +308,30 @@ def test_decoding_by_a_bound_is_decoding():
         want = np.take_along_axis(tag, path[:, :, None].astype(np.int64), 2)[:, :, 0]
         same = some & (tags == path).all(1)
         assert np.abs(sure[same] - want[same]).max(initial=0) < 1e-3
+
+
+def test_the_network_learns_from_the_neighbourhoods_of_a_pattern_search():
+    """The first twenty, found by looking from anchor to anchor, are those of one pattern over the whole text."""
+    import re
+
+    g = random.Random(21)
+    whole = re.compile(rf"(?s).{{0,{P.MARGIN}}}[0-9@].{{0,{P.WINDOW}}}")
+    for n in (0, 1, 32, 33, 129, 400, 6000):
+        for dense in ("aé\n😀 ", "aé\n😀 1@", "a" * 60 + "\n7", "1@"):
+            text = "".join(g.choice(dense) for _ in range(n))
+            assert P.near_anchors(text) == " ".join(whole.findall(text)[:20])
+
+
+def test_fit_reads_the_texts_once(spark, tmp_path):
+    """The sample is counted and drawn from a written table; each text passes one task once."""
+    texts = [f"row {i}, mail a{i}@b.org" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert P.fit(docs.mapInArrow(count, "text string")) is not None
+    assert read.value == len(texts)

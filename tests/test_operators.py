@@ -165,3 +165,17 @@ def test_views_read_files_in_small_splits(spark, tmp_path, monkeypatch):
         assert rows.rdd.getNumPartitions() >= 10 and rows.count() == 100_000
     finally:
         spark.conf.set(conf, before)
+
+
+def test_costly_rules_get_rows_dealt_over_the_cores(spark, tmp_path):
+    """A file of one row group is one task to read; the rules of P04 run in several, on the same rows."""
+    from lodestar.plans.catalog import QUERIES
+    from lodestar.plans.fixtures import DEAL_BY
+    from lodestar.plans.registry import P
+    sf = "/root/testdata/sf0.001"
+    plain, dealt = P(spark, sf), P(spark, sf, dealt=True)
+    assert plain.rdd.getNumPartitions() < dealt.rdd.getNumPartitions()
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
+    # a fixed number of partitions, which AQE does not coalesce, below the rules
+    plan = QUERIES["p04_enrich"][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [" + DEAL_BY[0] in plan

@@ -310,6 +310,26 @@ def test_decoding_by_a_bound_is_decoding():
         assert np.abs(sure[same] - want[same]).max(initial=0) < 1e-3
 
 
+def test_a_step_of_the_network_is_one_product_and_no_tanh(monkeypatch):
+    """The cost of reading whole texts; gates that are shut or open beyond e^88 are 0 or 1 and no scores are lost."""
+    g = np.random.default_rng(13)
+    tagger = P.Tagger()
+    w = g.integers(0, 130, (70, P.WINDOW)).astype(np.uint8)
+    for size in (1, 300):
+        for way in "fb":
+            tagger.p[f"x{way}"] = tagger.p[f"x{way}"] * np.float32(size)
+        x = tagger.p["embed"][w]
+        h = np.concatenate((tagger._lstm(x, "f"), tagger._lstm(x[:, ::-1], "b")[:, ::-1]), 2)
+        want = h @ tagger.p["out"] + tagger.p["out_b"]
+        calls, product, tanh = [], np.matmul, np.tanh
+        with monkeypatch.context() as m:
+            m.setattr(np, "matmul", lambda *a, **k: (calls.append("product"), product(*a, **k))[1])
+            m.setattr(np, "tanh", lambda *a, **k: (calls.append("tanh"), tanh(*a, **k))[1])
+            got = tagger.emissions(w)
+        assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-3
+        assert calls == ["product"] * (2 * P.WINDOW)
+
+
 def test_the_network_learns_from_the_neighbourhoods_of_a_pattern_search():
     """The first twenty, found by looking from anchor to anchor, are those of one pattern over the whole text."""
     import re

@@ -330,6 +330,63 @@ def test_a_step_of_the_network_is_one_product_and_no_tanh(monkeypatch):
         assert calls == ["product"] * (2 * P.WINDOW)
 
 
+def test_both_forms_of_a_step_are_the_network(monkeypatch):
+    """A step is one product and, by tanh, two tanh and no exp; gates far beyond their range lose no scores in either form."""
+    g = np.random.default_rng(14)
+    tagger = P.Tagger()
+    w = g.integers(0, 130, (70, P.WINDOW)).astype(np.uint8)
+    for size in (1, 300):
+        for way in "fb":
+            tagger.p[f"x{way}"] = tagger.p[f"x{way}"] * np.float32(size)
+        x = tagger.p["embed"][w]
+        h = np.concatenate((tagger._lstm(x, "f"), tagger._lstm(x[:, ::-1], "b")[:, ::-1]), 2)
+        want = h @ tagger.p["out"] + tagger.p["out_b"]
+        for by_tanh, step in ((False, ["matmul", "exp", "exp"]), (True, ["matmul", "tanh", "tanh"])):
+            calls = []
+            with monkeypatch.context() as m:
+                for name in ("matmul", "exp", "tanh"):
+                    m.setattr(np, name, lambda *a, name=name, of=getattr(np, name), **k: (calls.append(name), of(*a, **k))[1])
+                got = tagger.emissions(w, by_tanh)
+            assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-3
+            assert calls == step * (2 * P.WINDOW)
+
+
+def test_windows_are_read_in_parts_of_one_size(monkeypatch):
+    """Every window once, no small rest, and a step's product small enough to be made without copies."""
+    tagger, read = P.Tagger(), []
+    assert (4 * P.HIDDEN + tagger.TAGS) * (P.HIDDEN + 1 + P.EMBEDDING) * P.AT_ONCE <= 1_000_000
+    of = P.Tagger.emissions
+    monkeypatch.setattr(P.Tagger, "emissions", lambda self, w, *a: (read.append(w), of(self, w, *a))[1])
+    for n in (1, P.AT_ONCE, P.AT_ONCE + 1, 3 * P.AT_ONCE - 5):
+        w = np.random.default_rng(n).integers(0, 130, (n, P.WINDOW)).astype(np.uint8)
+        read.clear()
+        tags, sure = tagger.decode(w)
+        assert tags.shape == sure.shape == w.shape and np.array_equal(np.concatenate(read), w)
+        sizes = [len(r) for r in read]
+        assert max(sizes) <= P.AT_ONCE and max(sizes) - min(sizes) <= 1
+
+
+def test_best_paths_of_many_windows_by_force():
+    """Ties included: whole numbers tie often, and the lower tag is taken."""
+    g = np.random.default_rng(15)
+    tagger = P.Tagger()
+    for n in (1, 40):
+        for draw in (lambda *s: g.normal(0, 1, s), lambda *s: g.integers(-1, 2, s)):
+            tagger.p["trans"] = draw(9, 9).astype(np.float32)
+            e = draw(n, 7, 9).astype(np.float32)
+            got = tagger.viterbi(e)
+            for i in range(n):
+                score, came = e[i, 0], []
+                for t in range(1, 7):
+                    s = score[:, None] + tagger.p["trans"]
+                    came.append(s.argmax(0))
+                    score = s.max(0) + e[i, t]
+                path = [int(score.argmax())]
+                for back in reversed(came):
+                    path.insert(0, int(back[path[0]]))
+                assert got[i].tolist() == path
+
+
 def test_the_network_learns_from_the_neighbourhoods_of_a_pattern_search():
     """The first twenty, found by looking from anchor to anchor, are those of one pattern over the whole text."""
     import re

@@ -179,3 +179,39 @@ def test_costly_rules_get_rows_dealt_over_the_cores(spark, tmp_path):
     # a fixed number of partitions, which AQE does not coalesce, below the rules
     plan = QUERIES["p04_enrich"][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [" + DEAL_BY[0] in plan
+
+
+def test_company_summary_in_passes_is_that_in_one(spark, tmp_path, monkeypatch):
+    """Each posting in one pass, repeated and null suppliers too; a pass leaves neither its steps nor its shuffles behind."""
+    import datetime
+    import glob
+    import os
+
+    from lodestar.plans import catalog, fixtures
+    from lodestar.sources import scratch
+
+    day = datetime.datetime(1995, 1, 1)
+    lines = [(i // 3, i % 40 if i % 17 else None, i % 9 if i % 19 else None, i % 7 + 1 if i % 23 else None, float(i % 50 + 1), 100.0 + i % 5, "ANR"[i % 3], day + datetime.timedelta(days=i % 30)) for i in range(600)]
+    suppliers = [(k, n, k % 3) for k, n in enumerate(["Acme", "acme", "ACME", "Beta", None, "Beta", "Gamma", "beta", "Delta"])] + [(3, "Acme", 1), (3, "Beta", 0), (None, "Gone", 0)]
+    tables = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"),
+              "part": ([(k, f"part {k % 4}", ["PROMO", "ECONOMY", "SMALL"][k % 3]) for k in range(40)], "p_partkey long, p_name string, p_type string"),
+              "supplier": (suppliers, "s_suppkey long, s_name string, s_nationkey int"),
+              "nation": ([(0, "N0", 0), (1, "N1", 1), (2, "N2", 0)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(0, "ASIA"), (1, "EUROPE")], "r_regionkey int, r_name string")}
+    sf = str(tmp_path)
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{sf}/{name}.parquet")
+    assert fixtures.file_bytes(spark, sf, "lineitem") > 1000
+    whole = catalog._summary_of(catalog.P(spark, sf)).collect()
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    assert sorted(x for i in range(5) for x in rows_of(fixtures.postings_of_pass(spark, sf, i, 5))) == rows_of(catalog.P(spark, sf))
+
+    taken, take = [], scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda s: (taken.append(take(s)), taken[-1])[1])
+    monkeypatch.setattr(catalog, "PASS_BYTES", -(-fixtures.file_bytes(spark, sf, "lineitem") // 4))
+    freed = spark.conf.get(scratch._FREED)
+    got = catalog.company_summary(spark, sf)
+    kept = [p for p in taken if os.path.exists(p)]
+    assert len(taken) == 8 and len(kept) == 4 and set(got.inputFiles()) == {f"file://{f}" for p in kept for f in glob.glob(f"{p}/part-*")}
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole)) and len({r.company for r in whole}) == len(whole) > 8
+    assert [-r.total_openings for r in got.collect()] == sorted(-r.total_openings for r in whole)
+    assert spark.conf.get(scratch._FREED) == freed

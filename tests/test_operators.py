@@ -215,3 +215,17 @@ def test_company_summary_in_passes_is_that_in_one(spark, tmp_path, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, whole)) and len({r.company for r in whole}) == len(whole) > 8
     assert [-r.total_openings for r in got.collect()] == sorted(-r.total_openings for r in whole)
     assert spark.conf.get(scratch._FREED) == freed
+
+
+def test_pay_is_read_off_a_text_once(spark):
+    """The score and the shortlist share it, and only titles with the term ask for the rest of the shortlist's conditions."""
+    from lodestar.operators.enrich import enrich, shortlist_flag
+    rows = [("u1", "Head of Growth", "Rs. 30 - 40 Lacs", None), ("u2", "growth", "20 L", "2 years"), ("u3", "Head", "99 L", "2 years"), ("u4", None, None, None), ("u5", "Growth", None, "12-15 years"), ("u6", "Growth", "x", None)]
+    df = spark.createDataFrame(rows, "job_url string, title string, salary string, experience string").withColumn("location", F.lit("Pune"))
+    out = enrich(df, shortlist_term="growth")
+    assert "__pay" not in out.columns
+    plan = out.select("relevance_score", "shortlist")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"^rs\.?\s*") == 2  # the range's end and the first number, of one text
+    assert {r.job_url: r.shortlist for r in out.collect()} == {"u1": "Yes", "u2": "No", "u3": "No", "u4": "No", "u5": "No", "u6": "Yes"}
+    alone = out.withColumn("shortlist", shortlist_flag("growth"))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, out.collect()))
